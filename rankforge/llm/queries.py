@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm.bpe_lexicon import encode_documents
+from rankforge.llm.line_spread import ORACLE as LINE_SQL
+from rankforge.llm.line_spread import line_report
+from rankforge.llm.sentence_spans import span_report
 from rankforge.llm.shared import table
 from rankforge.llm.token_counts import count_tokens
 from rankforge.llm.token_sst import token_tables
@@ -15,17 +18,27 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES = {
     "op1_bpe_lexicon": op1_bpe_lexicon,
+    "op3_line_spread": op3_line_spread,
     "op4_token_sst": op4_token_sst,
+    "op5_sentence_spans": op5_sentence_spans,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_spread": LINE_SQL}
