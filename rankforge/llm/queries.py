@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rankforge.llm.bpe_lexicon import encode_documents
 from rankforge.llm.line_spread import ORACLE as LINE_SQL
 from rankforge.llm.line_spread import line_report
+from rankforge.llm.quality_mcd import judge
 from rankforge.llm.sentence_spans import span_report
 from rankforge.llm.shared import table
+from rankforge.llm.simhash_pivots import near_duplicates
 from rankforge.llm.token_counts import count_tokens
 from rankforge.llm.token_sst import token_tables
 
@@ -30,6 +32,14 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -39,6 +49,8 @@ QUERIES = {
     "op3_line_spread": op3_line_spread,
     "op4_token_sst": op4_token_sst,
     "op5_sentence_spans": op5_sentence_spans,
+    "op6_simhash_pivots": op6_simhash_pivots,
+    "op7_quality_mcd": op7_quality_mcd,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_spread": LINE_SQL}
