@@ -32,7 +32,7 @@ SHARE, STEPS, QUANTILE, SMALL = 0.75, 6, 0.9999999, 50
 PSEUDO, UNIT = 100, 1000
 #: Least standard deviation of each coordinate, in thousandths: mean word length (log), symbols, repeated lines,
 #: repeated words (roots of shares). Most texts have none of the last three, so their scatter would vanish.
-FLOORS = (40, 40, 90, 80)
+FLOORS = (40, 40, 150, 130)
 P = len(FLOORS)
 
 
