@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from rankforge.llm.shared import forget, slices
 
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 20_000
-LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 40, 24, 0.8, 7, 4, 0.3
-REMEMBERED, LONGEST, MOST_WORDS = 1_000_000, 40, 40
+LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 40, 24, 0.8, 7, 3, 0.3
+REMEMBERED, LONGEST, MOST_WORDS = 600_000, 40, 40
 #: Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 EDGES = "\"'()[]{}.,;:!?|*#%&-_<>"
@@ -46,30 +46,30 @@ def word_of(token: str) -> str:
     return token.strip(EDGES).lower()
 
 
-def _code(c: str) -> int:
-    c = STANDS_FOR.get(c, c)
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    if not c.isalpha():
-        return 0
-    return 27 + ord(c) % 36
+def _table() -> np.ndarray:
+    """Letter codes of the characters below U+0250; 0 for signs, which are left out."""
+    out = np.zeros(0x250, "i4")
+    for n in range(0x250):
+        c = STANDS_FOR.get(chr(n), chr(n))
+        out[n] = ord(c) - 96 if "a" <= c <= "z" else 27 + n % 36 if c.isalpha() else 0
+    return out
 
 
-_CODES: dict[str, int] = {}
+CODES = _table()
 
 
 def coded(words: list[str]) -> np.ndarray:
-    """Words as rows of letter codes (0: a sign, which matches nothing, or the end) after the code of a word's start, so
-    that beginnings weigh more. Very long words come in :func:`pieces`."""
-    out = np.zeros((len(words), 1 + max(map(len, words), default=0) + SPAN), "i4")
+    """Words as rows of letter codes (signs left out, 0 from the end on) after the code of a word's start, so that
+    beginnings weigh more. Characters from U+0250 on are letters, but for general punctuation. Very long words come in :func:`pieces`."""
+    length = np.fromiter(map(len, words), "i8", len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+    codes = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], np.where((points >= 0x2000) & (points < 0x2070), 0, 27 + points % 36))
+    rows = np.repeat(np.arange(len(words)), length)[codes > 0]
+    codes = codes[codes > 0]
+    length = np.bincount(rows, minlength=len(words))
+    out = np.zeros((len(words), 1 + int(length.max(initial=0)) + SPAN), "i4")
     out[:, 0] = START
-    for n, word in enumerate(words):
-        for c in word:
-            if c not in _CODES:
-                if len(_CODES) > 100_000:
-                    _CODES.clear()
-                _CODES[c] = _code(c)
-        out[n, 1 : len(word) + 1] = [_CODES[c] for c in word]
+    out[rows, np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length) + 1] = codes
     return out
 
 
@@ -284,14 +284,20 @@ class Scorer:
         self.model, self.limit = model, remembered
         self.marks = Landmarks(model.landmarks) if model.landmarks else None
         self.known: dict[str, complex] = {}
+        self.words: dict[str, float] = {}
 
     def learn(self, tokens: list[str]) -> None:
         words = [word_of(t) for t in tokens]
-        values = np.zeros(len(words))
-        for at in range(0, len(words), 4096):
-            values[at : at + 4096] = self.marks.kernel(words[at : at + 4096]) @ self.model.weights
+        new = sorted(set(words).difference(self.words), key=len)
+        if len(self.words) + len(new) > self.limit:
+            forget(self.words, self.limit, len(new))
+            new = sorted(set(words).difference(self.words), key=len)
+        for at in range(0, len(new), 4096):  # words of about one length together
+            some = new[at : at + 4096]
+            self.words.update(zip(some, (self.marks.kernel(some) @ self.model.weights).tolist(), strict=True))
+        self.words[""] = 0.0
         # the imaginary part: 1 for a single letter, which may belong to a spelled-out word
-        self.known.update({t: complex(v if w else 0.0, len(w) == 1) for t, w, v in zip(tokens, words, values.tolist(), strict=True)})
+        self.known.update({t: complex(self.words[w], len(w) == 1) for t, w in zip(tokens, words, strict=True)})
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.model.bias)
@@ -311,7 +317,7 @@ class Scorer:
             for s in parts:
                 total = sum([known[t] for t in set(s)], 0j)
                 value = total.real
-                if total.imag and (joined := spelled_out(s)):
+                if total.imag > 1 and (joined := spelled_out(s)):
                     value += float((self.marks.kernel(joined) @ self.model.weights).sum())
                 best = max(best, value)
             out[n] += best
