@@ -33,7 +33,7 @@ from rankforge.llm.shared import SLICE, ChunkCoder, frequent_chunks, lower_chunk
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 #: Words in the lexicon, and chunks and words that a worker remembers: bounds of memory, not of results.
-LEXICON_WORDS, REMEMBERED = 50_000, 500_000
+LEXICON_WORDS, REMEMBERED = 50_000, 1_200_000
 MAGIC = b"RFLEX01\n"
 
 

@@ -115,46 +115,46 @@ class ChunkCoder:
     def __init__(self, new_ids: Callable[[list[str]], list[list[int]]], vocabulary: int, remembered: int):
         self.new, self.limit = new_ids, remembered
         self.kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        parted, wanted = [], set()
+    def learn(self, chunks: list[str]) -> list[str]:
+        """Make all of ``chunks`` known; returns those to forget again at once: a word with signs behind it, seen with the
+        word itself for the first time, is not worth the room."""
+        known, whole, parted = self.known, [], []
         for chunk in chunks:
             body = chunk.rstrip(self.TAIL)
             if len(body) < len(chunk) and body and body[-1].lower().isalpha():
                 parted.append((chunk, body, chunk[len(body) :]))
-                wanted.add(body)
-                wanted.add(chunk[len(body) :])
             else:
-                parted.append((chunk, chunk, ""))
-                wanted.add(chunk)
-        missing = list(wanted.difference(self.words))
-        if len(self.words) + len(missing) > self.limit:
-            forget(self.words, self.limit, len(missing))
-            missing = list(wanted.difference(self.words))
+                whole.append(chunk)
+        missing = {*whole, *(x for _, body, tail in parted for x in (body, tail))}
+        missing = [x for x in missing if x not in known]
         if missing:
             ids = self.new(missing)
             flat = np.fromiter((i for x in ids for i in x), self.kind).tobytes()
             wide, at = int(self.kind[-1]), 0
             for chunk, x in zip(missing, ids, strict=True):
                 end = at + wide * len(x)
-                self.words[chunk] = flat[at:end]
+                known[chunk] = flat[at:end]
                 at = end
-        words = self.words
-        return {chunk: words[body] + words[tail] if tail else words[body] for chunk, body, tail in parted}
+        fresh = set(missing)
+        for chunk, body, tail in parted:
+            known[chunk] = known[body] + known[tail]
+        return [chunk for chunk, body, _ in parted if body in fresh]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [lower_chunks(t) if t else [] for t in texts]
         every = set().union(*split)
-        new = list(every.difference(self.chunks))
-        if len(self.chunks) + len(new) > self.limit:
-            forget(self.chunks, self.limit, len(new))
-            new = list(every.difference(self.chunks))
-        if new:
-            self.chunks.update(self.learn(new))
-        known = self.chunks
-        return [np.frombuffer(b"".join([known[c] for c in chunks]), self.kind) for chunks in split]
+        new = list(every.difference(self.known))
+        if len(self.known) + 2 * len(new) > self.limit:
+            forget(self.known, self.limit, 2 * len(new))
+            new = list(every.difference(self.known))
+        once = self.learn(new) if new else []
+        known = self.known
+        out = [np.frombuffer(b"".join([known[c] for c in chunks]), self.kind) for chunks in split]
+        for chunk in once:
+            known.pop(chunk, None)
+        return out
 
 
 # -- frequent chunks: bounded summaries, merged without moving the chunks themselves ------------------------------

@@ -36,7 +36,7 @@ from rankforge.llm.shared import ChunkCoder, filesystem, new_folder, put_file, s
 MAGIC, FOOTER = b"RFSST01\n", struct.Struct("<6qI8s")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
 #: Chunks a worker remembers: bounds memory.
-REMEMBERED = 500_000
+REMEMBERED = 1_400_000
 
 
 def _varint(n: int) -> bytes:
