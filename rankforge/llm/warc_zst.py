@@ -1,6 +1,6 @@
 """WARC archives compressed record by record with a Zstandard dictionary.
 
-A dictionary is trained from archived records (a bounded sample: at most ``SAMPLE_ROWS`` rows chosen by hash, ``SAMPLE_BYTES`` of
+A dictionary is trained from archived records (a bounded sample: at most ``SAMPLE_ROWS`` identifiers, the first by hash, ``SAMPLE_BYTES`` of
 each; it changes sizes, never contents). Each archive starts with the dictionary in a skippable frame (magic number
 0x184D2A5D, little-endian length, dictionary); every record is a frame of its own, so a record can be read from its
 offset with the dictionary alone. Of records with equal payloads of ``revisit_from`` bytes or more, that with the largest identifier is a
@@ -71,9 +71,13 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def trained_dictionary(df: DataFrame, id_col: str, url_col: str, payload_col: str) -> bytes:
     """A dictionary from records of the table; empty if there is too little to learn from."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    # identifiers first: what the driver is sent is a few bytes a row, not texts
     order = F.xxhash64(F.col(id_col))
-    rows = df.select(order.alias("o"), F.col(id_col).alias("i"), F.col(url_col).cast("string").alias("u"), F.substring(payload, 1, SAMPLE_BYTES).alias("p")).orderBy("o").limit(SAMPLE_ROWS).collect()
+    chosen = df.select(order.alias("o"), F.col(id_col).alias("s")).where(F.col(id_col).isNotNull()).distinct().orderBy("o", "s").limit(SAMPLE_ROWS)
+    payload = F.substring(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), 1, SAMPLE_BYTES)
+    sampled = df.join(F.broadcast(chosen), F.col(id_col) == F.col("s"))
+    sampled = sampled.groupBy("s").agg(F.min(F.struct(F.col(url_col).cast("string").alias("u"), payload.alias("p"))).alias("x"))
+    rows = sampled.select(F.col("s").alias("i"), "x.u", "x.p").orderBy("i").collect()
     samples = [record(r["i"], r["u"], r["p"].encode()) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
