@@ -22,8 +22,8 @@ def cut_positions(covered: DataFrame) -> DataFrame:
     return spread
 
 
-def without(df: DataFrame, cuts: DataFrame, id_col: str, text_col: str, pieces) -> DataFrame:
-    """All rows and columns of ``df`` with ``__pieces`` and ``__cut`` (empty where nothing is cut) added.
+def with_cuts(df: DataFrame, cuts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows and columns of ``df`` with ``__cut`` (empty where nothing is cut) added.
 
     The rows of one document name (exact repeats) may be many; the join's other side has one row a name, so adaptive
     execution can split them.
@@ -32,8 +32,12 @@ def without(df: DataFrame, cuts: DataFrame, id_col: str, text_col: str, pieces)
     left = df.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text)})
     right = cuts.select(F.col("__id").alias("__rid"), F.col("__th").alias("__rth"), "__cut")
     joined = left.join(right, left["__id"].eqNullSafe(right["__rid"]) & (left["__th"] == right["__rth"]), "left")
-    none = F.array().cast("array<int>")
-    return joined.drop("__id", "__th", "__rid", "__rth").withColumns({"__pieces": pieces(text), "__cut": F.coalesce("__cut", none)})
+    return joined.drop("__id", "__th", "__rid", "__rth").withColumn("__cut", F.coalesce("__cut", F.array().cast("array<int>")))
+
+
+def without(df: DataFrame, cuts: DataFrame, id_col: str, text_col: str, pieces) -> DataFrame:
+    """As :func:`with_cuts`, with the text's ``__pieces`` too."""
+    return with_cuts(df, cuts, id_col, text_col).withColumn("__pieces", pieces(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def kept_pieces() -> Column:

@@ -9,43 +9,74 @@ by chance, from counting.
 Defined cases: a null text counts as empty; letter case and the amount of white space don't matter when runs are compared;
 rows that repeat identifier and text are one document and get the same result; null identifiers sort first; an empty
 table gives an empty frame; other columns pass through. A text is cut as a whole, however long. Runs are told
-apart by 96 bits of hash.
+apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.cutting import KEY, cut_positions, kept_pieces, keyed, without
+from rankforge.llm.cutting import KEY, cut_positions, keyed, with_cuts
+from rankforge.llm.shared import slices
 
 WORDS_OF_TWO, WORDS_OF_THREE = 25, 15
-#: Between a closing sign with white space behind it, or a line feed, and what follows; nothing is consumed.
-BOUNDARY = r"(?<=[.!?][ \t\r\n]{1,8}|\n)(?=[^ \t\r\n])"
-
-
-def sentences(text):
-    return F.split(text, BOUNDARY)
+#: Ends behind a closing sign with white space after it, or behind a line feed, where something follows.
+BOUNDARY = re.compile(r"[.!?][ \t\r\n]{1,8}(?=[^ \t\r\n])|\n(?=[^ \t\r\n])")
+#: Odd multipliers that mix the sentences' hashes into a run's (64-bit golden ratio and its like).
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], "u8")
+
+
+def sentences(text: str) -> list[str]:
+    """The text's sentences; put together they are the text."""
+    cuts = [m.end() for m in BOUNDARY.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
+
+
+def run_hashes(parts: list[str], two: int, three: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last sentence and two 64-bit hashes of each run that is long enough."""
+    words = [s.split() for s in parts]
+    size = np.fromiter(map(len, words), "i8", len(words))
+    digests = b"".join([xxhash.xxh3_128_digest(" ".join(w).lower().encode("utf-8", "surrogatepass")) for w in words])
+    hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    first, last, mixed = [], [], []
+    for k, least in ((2, two), (3, three)):
+        n = len(parts) - k + 1
+        if n < 1:
+            continue
+        total = sum(size[j : j + n] for j in range(k))
+        at = np.flatnonzero(total >= least)
+        out = np.full((len(at), 2), k, "u8")
+        for j in range(k):
+            out = (out ^ hashes[at + j]) * MIX[j]
+            out ^= out >> np.uint64(29)
+        first.append(at)
+        last.append(at + k - 1)
+        mixed.append(out)
+    if not first:
+        return np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8")
+    both = np.concatenate(mixed)
+    return np.concatenate(first).astype("i4"), np.concatenate(last).astype("i4"), both[:, 0].copy().view("i8"), both[:, 1].copy().view("i8")
 
 
 def runs_of(df: DataFrame, id_col: str, text_col: str, two: int, three: int) -> DataFrame:
     """A row for each run: document, first and last sentence, hashes."""
     docs = keyed(df, id_col, text_col)
-    # per sentence its hash and words; a run's hash is the hash of its sentences' hashes
-    flat = docs.select(*KEY, sentences(F.col("__text")).alias("__ss")).where(F.size("__ss") > 1)
-    parts = flat.select(*KEY, F.transform("__ss", lambda s: F.lower(F.trim(F.regexp_replace(s, r"[ \t\r\n\x0b\f]+", " ")))).alias("__ss"))
-    hashed = parts.select(*KEY, F.transform("__ss", lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), (F.length(s) - F.length(F.translate(s, " ", "")) + 1).alias("w"))).alias("__ss"))
-    at = lambda a, i: F.get(a, i)
+    kind = dict(docs.dtypes)["__id"]
 
-    def run(a, i, k):
-        parts_ = [at(a, i + j) for j in range(k)]
-        words = sum((p["w"] for p in parts_[1:]), parts_[0]["w"])
-        return F.struct(i.cast("int").alias("f"), (i + k - 1).cast("int").alias("t"), F.xxhash64(*[p["h"] for p in parts_]).alias("h"), F.hash(*[p["g"] for p in parts_]).alias("g"), words.alias("w"))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [run_hashes(sentences(t), two, three) for t in part.column(2).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))], names=[*KEY, "__from", "__to", "__h", "__g"])
 
-    two_runs = F.transform(F.sequence(F.lit(0), F.size("__ss") - 2), lambda i: run(F.col("__ss"), i, 2))
-    three_runs = F.when(F.size("__ss") > 2, F.transform(F.sequence(F.lit(0), F.size("__ss") - 3), lambda i: run(F.col("__ss"), i, 3)))
-    both = F.concat(F.filter(two_runs, lambda r: r["w"] >= two), F.coalesce(F.filter(three_runs, lambda r: r["w"] >= three), F.array().cast("array<struct<f:int,t:int,h:bigint,g:int,w:int>>")))
-    return hashed.select(*KEY, F.explode(both).alias("r")).select(*KEY, F.col("r.f").alias("__from"), F.col("r.t").alias("__to"), F.col("r.h").alias("__h"), F.col("r.g").alias("__g"))
+    return docs.mapInArrow(run, f"__id {kind}, __th long, __from int, __to int, __h long, __g long")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", two: int = WORDS_OF_TWO, three: int = WORDS_OF_THREE) -> DataFrame:
@@ -57,10 +88,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = groups.where(F.col("__first") != F.col("__last")).select("__h", "__g", "__first")
     again = runs.join(repeated, ["__h", "__g"]).where(place != F.col("__first"))
     cuts = cut_positions(again.select(*KEY, "__from", "__to"))
-    out = without(df, cuts, id_col, text_col, sentences)
-    new = F.when(F.size("__cut") == 0, F.col(text_col)).otherwise(F.array_join(kept_pieces(), ""))
-    counts = {"__n_sentences": F.size("__pieces").cast("long"), "__n_removed": F.size("__cut").cast("long"), text_col: new}
-    return out.withColumns(counts).select(*df.columns, "__n_sentences", "__n_removed")
+    joined = with_cuts(df, cuts, id_col, text_col)
+    names = list(df.columns)
+    at = names.index(text_col)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __n_sentences long, __n_removed long"
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts, n, gone = part.column(at).to_pylist(), [], []
+                for i, (text, positions) in enumerate(zip(texts, part.column(len(names)).to_pylist(), strict=True)):
+                    if positions:
+                        parts, out = sentences(text), set(positions)
+                        texts[i] = "".join([s for k, s in enumerate(parts) if k not in out])
+                        n.append(len(parts))
+                    else:
+                        n.append(1 + sum(1 for _ in BOUNDARY.finditer(text or "")))
+                    gone.append(len(positions))
+                columns = list(part.columns)[: len(names)]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "__n_sentences", "__n_removed"])
+
+    return joined.mapInArrow(cut, schema)
 
 
 def span_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

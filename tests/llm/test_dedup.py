@@ -98,14 +98,14 @@ def brute_spans(docs, two, three):
     for _, t in docs:
         cuts = sorted({m.end() for m in boundary.finditer(t or "")} | set())
         parts.append([(t or "")[a:b] for a, b in zip([0, *cuts], [*cuts, len(t or "")], strict=True)])
-    plain = [[re.sub(r"[ \t\r\n\x0b\f]+", " ", s).strip(" ").lower() for s in p] for p in parts]
+    plain = [[" ".join(s.split()).lower() for s in p] for p in parts]
     first, cut = {}, [set() for _ in docs]
     order = sorted(range(len(docs)), key=lambda n: docs[n][0])
     for n in order:
         for i in range(len(plain[n])):
             for k, least in ((2, two), (3, three)):
                 run = tuple(plain[n][i : i + k])
-                if len(run) == k and sum(s.count(" ") + 1 for s in run) >= least:
+                if len(run) == k and sum(len(s.split()) for s in run) >= least:
                     if first.setdefault((k, run), (n, i)) != (n, i):
                         cut[n] |= set(range(i, i + k))
     return ["".join(s for i, s in enumerate(p) if i not in c) for p, c in zip(parts, cut, strict=True)], [len(c) for c in cut]
