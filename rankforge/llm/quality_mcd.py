@@ -34,6 +34,8 @@ PSEUDO, UNIT = 100, 1000
 #: repeated words (roots of shares). Most texts have none of the last three, so their scatter would vanish.
 FLOORS = (40, 40, 150, 130)
 P = len(FLOORS)
+#: Groups up to which their estimates (some 20 numbers each) are broadcast.
+FEW = 20_000
 
 
 def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,23 +111,28 @@ def _distance() -> Column:
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
-def _measured(docs: DataFrame, estimate: DataFrame, group: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, estimate: DataFrame, group: list[str], few: bool) -> DataFrame:
     """Squared distances, as hundredths up to 10,000 (bounded state for their quantiles)."""
-    return docs.join(estimate, group).withColumn("d", F.least(F.round(_distance() * 100), F.lit(1_000_000)).cast("long"))
+    return docs.join(_sent(estimate, few), group).withColumn("d", F.least(F.round(_distance() * 100), F.lit(1_000_000)).cast("long"))
 
 
-def estimates(docs: DataFrame, group: list[str]) -> DataFrame:
+def _sent(small: DataFrame, few: bool) -> DataFrame:
+    """A frame of a row a group: broadcast where the groups were counted and are few, so that texts need not meet by group."""
+    return F.broadcast(small) if few else small
+
+
+def estimates(docs: DataFrame, group: list[str], few: bool = False) -> DataFrame:
     """Minimum-covariance-determinant centre and scatter of ``x0..`` for each group."""
     middle = docs.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)])
-    spread = docs.join(middle, group).groupBy(*group).agg(
+    spread = docs.join(_sent(middle, few), group).groupBy(*group).agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).cast("long"), 0.5).alias(f"a{i}") for i in range(P)]
     )
     now = spread.select(*group, *[f"m{i}" for i in range(P)], *[(F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
     for _ in range(STEPS):
         now = written(now, "scatter")
-        measured = _measured(docs, now, group).select(*group, "d", *[f"x{i}" for i in range(P)])
+        measured = _measured(docs, now, group, few).select(*group, "d", *[f"x{i}" for i in range(P)])
         limit = measured.groupBy(*group).agg(F.percentile("d", SHARE).alias("limit"))
-        near = measured.join(limit, group).where(F.col("d") <= F.col("limit"))
+        near = measured.join(_sent(limit, few), group).where(F.col("d") <= F.col("limit"))
         now = _moments(near, group)
     return written(now, "scatter")
 
@@ -138,15 +145,16 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     base = written(base_statistics(src, "__text").withColumn("__failed", failed), "base")
     passed = base.where(~F.col("__failed"))
     sizes = written(passed.groupBy("__lang", "__source").agg(F.count("*").alias("__n"), (F.sum("__word_chars") / F.sum("__n_words")).alias("__mean")), "sizes")
+    few = sizes.count() <= FEW
     pooled = sizes.select("__lang", "__source", "__mean", F.when(F.col("__n") < SMALL, F.lit("\0\0")).otherwise(F.col("__source")).alias("__group"))
     share = lambda a, b: F.round(F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1))) * UNIT).cast("long")
     length = (F.col("__word_chars") + F.col("__mean") * PSEUDO) / (F.col("__n_words") + PSEUDO)
     vector = [F.round(F.ln(length) * UNIT).cast("long"), share("__n_symbols", "__word_chars"), share("__n_dup_lines", "__n_lines"), share("__n_repeat_words", "__n_words")]
-    out = base.join(pooled, ["__lang", "__source"], "left")
+    out = base.join(_sent(pooled, few), ["__lang", "__source"], "left")
     out = out.select("__id", "__lang", "__group", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__failed", *[F.when(~F.col("__failed"), v).alias(f"x{i}") for i, v in enumerate(vector)])
     docs = out.where(~F.col("__failed")).select("__lang", "__group", *[f"x{i}" for i in range(P)])
-    estimate = estimates(docs, ["__lang", "__group"])
-    measured = out.join(estimate, ["__lang", "__group"], "left").withColumn("__d", _distance())
+    estimate = estimates(docs, ["__lang", "__group"], few)
+    measured = out.join(_sent(estimate, few), ["__lang", "__group"], "left").withColumn("__d", _distance())
     cut = chi_square_quantile(QUANTILE, P)
     kept = F.when(F.col("__failed"), F.lit(False)).otherwise(F.coalesce(F.col("__d") <= cut, F.lit(True)))
     return measured.select(
