@@ -83,7 +83,7 @@ def _top_of_parts(frame: DataFrame, keys: list[str], matrix_of, queries: list, v
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                new = matrix_of(part.column(len(keys)), known) @ names[1].T
+                new = np.round(matrix_of(part.column(len(keys)), known) @ names[1].T, 12)  # halves stay halves whatever the order of sums
                 new = np.copysign(np.floor(np.abs(new) * 1e6 + 0.5) / 1e6, new) + 0.0  # half away from zero, as SQL rounds
                 rows = [part.column(i).to_pandas(integer_object_nulls=True).to_numpy() for i in range(len(keys))]
                 if held is None:
@@ -162,7 +162,7 @@ def keyword_rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame,
     asked = queries.select("query_id", F.array_distinct(F.filter(tokenize(F.col("text")), lambda t: F.length(t) > 2)).alias("asked"))
     found = candidates.withColumnRenamed("rank", "was").join(chunks.select(*CHUNK, tokenize(F.col("text")).alias("tokens")), CHUNK).join(asked, "query_id")
     score = F.size(F.array_intersect("asked", "tokens")) + 1 / (F.col("was") + 1000) + 0.001 * F.col("score")
-    return ranked(found.withColumn("score", F.round(score, 9)), k, "was").select("query_id", "rank", *CHUNK, "score", F.col("was").alias("candidate_rank"))
+    return ranked(found.withColumn("score", F.round(score, 10)), k, "was").select("query_id", "rank", *CHUNK, "score", F.col("was").alias("candidate_rank"))
 
 
 def parents_of(children: DataFrame, kids: DataFrame, k: int = 4) -> DataFrame:

@@ -214,12 +214,12 @@ def _vector(k: int, name: str = "ve", chunks: bool = True) -> str:
     return f"""{_CHUNKS + ', ' + _TOKENS + ',' if chunks else ''} y AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS w FROM benchmark),
       vc AS ({_hashed('x', 'doc_id, chunk_index')}), vq AS ({_hashed('y', 'query_id')}),
       vs AS (SELECT query_id, doc_id, chunk_index, sum(vq.v * vc.v) AS score FROM vq JOIN vc USING (b) GROUP BY ALL),
-      vo AS (SELECT item_id AS query_id, c.doc_id, c.chunk_index, round(coalesce(score, 0.0), 6) + 0.0 AS score FROM benchmark CROSS JOIN c LEFT JOIN vs ON vs.query_id = item_id AND vs.doc_id = c.doc_id AND vs.chunk_index = c.chunk_index),
+      vo AS (SELECT item_id AS query_id, c.doc_id, c.chunk_index, round(round(coalesce(score, 0.0), 12), 6) + 0.0 AS score FROM benchmark CROSS JOIN c LEFT JOIN vs ON vs.query_id = item_id AND vs.doc_id = c.doc_id AND vs.chunk_index = c.chunk_index),
       {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index)::INT AS rank FROM vo) WHERE rank <= {k})"""
 
 
 _METRICS = """a AS (SELECT vec_id AS query_id, embedding AS e, label FROM embeddings WHERE vec_id < 50),
-  s AS (SELECT query_id, vec_id AS doc_id, i.label = a.label AS rel, round(list_dot_product(a.e::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score FROM a CROSS JOIN embeddings i),
+  s AS (SELECT query_id, vec_id AS doc_id, i.label = a.label AS rel, round(round(list_dot_product(a.e::DOUBLE[], i.embedding::DOUBLE[]), 12), 6) AS score FROM a CROSS JOIN embeddings i),
   t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 11 AND query_id <> doc_id),
   p AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY r) AS pos FROM t),
   n AS (SELECT query_id, label, (SELECT count(*) FROM embeddings i WHERE i.label = a.label AND i.vec_id <> a.query_id) AS num FROM a),
@@ -260,7 +260,7 @@ ORACLE_SQL: dict[str, str] = {
       f AS (SELECT query_id, doc_id, chunk_index, round(sum(1 / (60 + rank)), 9) AS score, min(src * 100 + rank) AS seen, count(*) AS n_sources FROM e GROUP BY ALL)
       SELECT query_id, rank, doc_id, chunk_index, score, n_sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen)::INT AS rank FROM f) WHERE rank <= 5""",
     "keyword_rerank": f"""WITH {_vector(30)}, a AS (SELECT query_id, list_distinct(list_filter(w, lambda t: length(t) > 2)) AS asked FROM y),
-      k AS (SELECT ve.query_id, doc_id, chunk_index, ve.rank AS was, round(len(list_intersect(asked, x.w)) + 1 / (ve.rank + 1000) + 0.001 * score, 9) AS score FROM ve JOIN x USING (doc_id, chunk_index) JOIN a ON a.query_id = ve.query_id)
+      k AS (SELECT ve.query_id, doc_id, chunk_index, ve.rank AS was, round(len(list_intersect(asked, x.w)) + 1 / (ve.rank + 1000) + 0.001 * score, 10) AS score FROM ve JOIN x USING (doc_id, chunk_index) JOIN a ON a.query_id = ve.query_id)
       SELECT query_id, rank, doc_id, chunk_index, score, was AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was)::INT AS rank FROM k) WHERE rank <= 5""",
     "hashed_tokens": """SELECT query_id, (m % 384)::INT AS bucket, sum(CASE WHEN m < 384 THEN 1 ELSE -1 END)::BIGINT AS weight FROM (SELECT query_id, (((('0x' || substr(d, 1, 8))::BIGINT % 768) * 256 + ('0x' || substr(d, 9, 8))::BIGINT) % 768) AS m
       FROM (SELECT item_id AS query_id, sha256(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')))) AS d FROM benchmark)) GROUP BY ALL""",
