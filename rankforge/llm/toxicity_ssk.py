@@ -21,6 +21,7 @@ further columns are ignored (labels, language, source and identifiers are no inp
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.shared import forget, slices
 
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 3000, 20_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1000, 2000, 10_000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 40, 24, 0.8, 7, 3, 0.3
 REMEMBERED, LONGEST, MOST_WORDS = 600_000, 40, 40
 #: Digits and signs that stand for letters.
@@ -169,14 +170,24 @@ def sentence_words(text: str) -> list[list[str]]:
     return [[w for w in {*map(word_of, tokens), *spelled_out(tokens)} if w] for tokens in token_sentences(text)]
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list[str], list[str]]:
-    """Strings that cover the toxic documents, and clean words near to them or frequent."""
-    starts = lambda words: {w[:n] for w in words for n in range(4, 10) if len(w) >= n} | {w for w in words if 3 <= len(w) < 10}
+def choose_landmarks(names: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> tuple[list[str], list[str]]:
+    """Strings that cover the toxic documents, and clean words near to them or frequent. Documents are numbers of words."""
+
+    def starts(numbers: np.ndarray) -> set[str]:
+        words = [names[i] for i in numbers]
+        return {w[:n] for w in words for n in range(4, 10) if len(w) >= n} | {w for w in words if 3 <= len(w) < 10}
+
+    least = max(2, len(toxic) // 200)
+    # hashed counts bound each string's from above, so that only strings that can be frequent are held
+    bounds = np.zeros(1 << 22, "i4")
+    for words in toxic:
+        bounds[[zlib.crc32(s.encode("utf-8", "surrogatepass")) & 0x3FFFFF for s in starts(words)]] += 1
     held: dict[str, set[int]] = defaultdict(set)
     for n, words in enumerate(toxic):
         for s in starts(words):
-            held[s].add(n)
-    least = max(2, len(toxic) // 200)
+            if bounds[zlib.crc32(s.encode("utf-8", "surrogatepass")) & 0x3FFFFF] >= least:
+                held[s].add(n)
+    del bounds
     held = {s: d for s, d in held.items() if len(d) >= least}
     against: Counter = Counter()
     for words in clean:
@@ -191,8 +202,8 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]]) -> tuple[list
         chosen.append(s)
         left -= good[s]
         good = {o: d for o, d in good.items() if not (o.startswith(s) or s.startswith(o))}
-    frequent = Counter(w for words in clean for w in words if len(w) > 2)
-    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))]
+    often = np.bincount(np.concatenate([np.zeros(0, "i4"), *clean]), minlength=len(names))
+    common = [names[i] for i in sorted(np.flatnonzero(often).tolist(), key=lambda i: (-often[i], names[i])) if len(names[i]) > 2]
     negative = []
     if chosen and common:
         pool = common[:20_000]
@@ -207,9 +218,14 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0
     w, keep = np.zeros(x.shape[1]), np.ones(x.shape[1])
     keep[-1] = 1e-6
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        a = x[inside] * weight[inside, None]
-        new = np.linalg.solve(np.diag(keep) / c + a.T @ x[inside], a.T @ y[inside])
+        inside = y * (x @ w.astype("f4")) < 1
+        at, square, side = np.flatnonzero(inside), np.diag(keep) / c, np.zeros(x.shape[1])
+        for i in range(0, len(at), 8192):  # in blocks: the sums are small, the rows many
+            rows = at[i : i + 8192]
+            own = x[rows].astype("f8")
+            a = own * weight[rows, None]
+            square, side = square + a.T @ own, side + a.T @ y[rows]
+        new = np.linalg.solve(square, side)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -232,16 +248,25 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    docs = [sentence_words(t[:TRAIN_CHARS]) for t in texts]
-    label = np.array(labels)
-    bags = [{w for s in d for w in s} for d in docs]
-    chosen, negative = choose_landmarks([b for b, y in zip(bags, labels, strict=True) if y], [b for b, y in zip(bags, labels, strict=True) if not y])
+    label, numbers, names = np.array(labels), {}, []
+    sentences_, owner, bags = [], [], []  # a sentence: its words' numbers; each word is held once
+    for n, text in enumerate(texts):
+        bag = set()
+        for words in sentence_words(text[:TRAIN_CHARS]):
+            for w in words:
+                if w not in numbers:
+                    numbers[w] = len(names)
+                    names.append(w)
+            sentences_.append(np.array([numbers[w] for w in words], "i4"))
+            owner.append(n)
+            bag.update(sentences_[-1].tolist())
+        bags.append(np.array(sorted(bag), "i4"))
+    owner = np.array(owner)
+    chosen, negative = choose_landmarks(names, [b for b, y in zip(bags, labels, strict=True) if y], [b for b, y in zip(bags, labels, strict=True) if not y])
+    del bags, numbers
     if not chosen or label.min() == label.max():
         return Model([], np.zeros(0), 0.0, 1.0, 0.0)
     marks = Landmarks([*chosen, *negative])
-    vocabulary = sorted(set().union(*bags))
-    place = {w: n for n, w in enumerate(vocabulary)}
-    kernel = np.concatenate([marks.kernel(vocabulary[i : i + 4096]) for i in range(0, len(vocabulary), 4096)])
     own = marks.kernel(marks.words).astype("f8")
     own = own * (marks.own ** (2 * POWER))[None, :]  # back to the symmetric kernel
     scale = marks.own ** (2 * POWER)
@@ -249,21 +274,26 @@ def train(texts: list[str], labels: list[int]) -> Model:
     values, vectors = np.linalg.eigh((norm + norm.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     back = (scale / np.sqrt(np.diag(own)))[:, None] * root
-    features, owner = [], []
-    for n, d in enumerate(docs):
-        for s in d:
-            features.append(kernel[[place[w] for w in s]].sum(axis=0) if s else np.zeros(len(marks.words), "f4"))
-            owner.append(n)
-    features, owner = np.array(features, "f4") @ back.astype("f4"), np.array(owner)
-    features = np.c_[features, np.ones(len(features))].astype("f8")
-    fitted = np.arange(len(docs)) % 4 != 3  # the rest fits the curve
-    first = kernel[:, : len(chosen)].max(axis=1) > 0.8
-    hot = np.array([bool(s) and bool(first[[place[w] for w in s]].any()) for d in docs for s in d])
+    kernel = np.empty((len(names), len(marks.words)), "f4")
+    hot_word = np.zeros(len(names), bool)
+    by_length = np.argsort(np.fromiter(map(len, names), "i8", len(names)), kind="stable")
+    for at in range(0, len(names), 4096):
+        some = by_length[at : at + 4096]
+        found = marks.kernel([names[i] for i in some])
+        hot_word[some] = found[:, : len(chosen)].max(axis=1) > 0.8
+        kernel[some] = found @ back.astype("f4")  # the Nyström map is linear, so a word's part of it can be taken at once
+    features = np.ones((len(owner), kernel.shape[1] + 1), "f4")
+    hot = np.zeros(len(owner), bool)
+    for n, words in enumerate(sentences_):
+        features[n, :-1] = kernel[words].sum(axis=0) if len(words) else 0
+        hot[n] = bool(hot_word[words].any())
+    del kernel, sentences_
+    fitted = np.arange(len(texts)) % 4 != 3  # the rest fits the curve
     w = None
     for _ in range(5):
         positive = hot if w is None else np.zeros(len(owner), bool)
         if w is not None:
-            margin = features @ w
+            margin = features @ w.astype("f4")
             order = np.lexsort((-margin, owner))
             lead = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
             positive[lead] = True
@@ -273,8 +303,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
             return Model([], np.zeros(0), 0.0, 1.0, 0.0)
         weight = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()) / 10, 1.0)
         w = squared_hinge(features[use], y, weight)
-    margin = np.full(len(docs), w[-1])
-    np.maximum.at(margin, owner, features @ w)
+    margin = np.full(len(texts), w[-1])
+    np.maximum.at(margin, owner, (features @ w.astype("f4")).astype("f8"))
     slope, offset = logistic(margin[~fitted], label[~fitted])
     return Model(marks.words, (back @ w[:-1]).astype("f8"), float(w[-1]), slope, offset)
 
