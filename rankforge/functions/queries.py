@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankforge.functions.text import normalize
+from rankforge.functions.text import WS, normalize
 
-ASKING = "what|when|where|which|who|why|how"
-PHRASE = r"\b[A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)*"
+#: Words that open a clause, and those that open a question (fixed values).
+CLAUSE = "what|which|who|when|where|how|why|did|does|do|is|are"
+ASKING = "compare|contrast|summarize|explain|" + CLAUSE
+#: Capitalised words, joined by hyphens or blanks (fixed value).
+PHRASE = r"\b[A-Z][A-Za-z0-9]*(?:[-\s]+[A-Z][A-Za-z0-9]*)*\b"
+
+
+def _ends(text: Column) -> Column:
+    """Without blanks and question marks at its ends."""
+    return F.regexp_replace(text, "^[ ?]+|[ ?]+$", "")
 
 
 def query_variants(question: Column, most: int = 4) -> Column:
     """The cleaned question; the sides of a comparison; clauses after "and" with a question word; capitalised phrases. Each once, of two
-    words or more, at most ``most``."""
-    clean = normalize(F.coalesce(question, F.lit("")))
-    bare = F.regexp_replace(clean, r"[?.!]+$", "")
-    sides = F.split(bare, r"(?i) (?:vs\.?|versus) ", 2)
-    versus = F.when(F.size(sides) == 2, F.transform(sides, lambda s: F.trim(s))).otherwise(F.array().cast("array<string>"))
-    compare = r"(?i)^compare (.+?) and (.+?) (?:by|for) (.+)$"
-    named = bare.rlike(compare)
-    both = F.when(named, F.array(*[F.concat_ws(" ", F.regexp_extract(bare, compare, n), F.regexp_extract(bare, compare, 3)) for n in (1, 2)])).otherwise(F.array().cast("array<string>"))
-    clauses = F.split(bare, rf"(?i),? and (?=(?:{ASKING})\b)")
-    clauses = F.when(F.size(clauses) > 1, clauses).otherwise(F.array().cast("array<string>"))
-    phrases = F.filter(F.regexp_extract_all(bare, F.lit(PHRASE), F.lit(0)), lambda p: (F.length(p) > 2) & ~p.rlike(rf"(?i)^(?:{ASKING})\b"))
+    words or more, at most ``most``. A question of one word has none, and a null one neither."""
+    none = F.array().cast("array<string>")
+    clean = _ends(normalize(F.coalesce(question, F.lit(""))))
+    sides = F.split(clean, rf"(?i){WS}+(?:vs\.?|versus){WS}+", 2)
+    versus = F.when(F.size(sides) == 2, F.transform(sides, _ends)).otherwise(none)
+    compare = r"(?i)\bcompare\s+(.+?)\s+\band\s+(.+?)(?:\s+\bby\b|\s+\bfor\b|$)"
+    by = _ends(F.regexp_extract(clean, r"(?i)\b(?:by|for)\s+(.+)$", 1))
+    both = F.when(clean.rlike(compare), F.array(*[F.trim(F.concat_ws(" ", _ends(F.regexp_extract(clean, compare, n)), by)) for n in (1, 2)])).otherwise(none)
+    clauses = F.filter(F.transform(F.split(clean, rf"(?i)\s+\band\s+(?=(?:{CLAUSE})\b)"), _ends), lambda c: c != "")
+    clauses = F.when(F.size(clauses) > 1, clauses).otherwise(none)
+    phrases = F.filter(F.regexp_extract_all(clean, F.lit(PHRASE), F.lit(0)), lambda p: (F.length(p) > 2) & ~p.rlike(rf"(?i)^(?:{ASKING})\b"))
     every = F.array_distinct(F.concat(F.array(clean), versus, both, clauses, phrases))
     return F.slice(F.filter(every, lambda v: F.size(F.split(v, " ")) >= 2), 1, most)

@@ -68,15 +68,18 @@ def chunk_chars(docs: DataFrame, size: int = 1200, overlap: int = 150, id_col: s
 
 def chunk_markdown(docs: DataFrame, size: int = 500, overlap: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections at headings of level one to four (text before the first is left out; none: the whole text), then token windows. Offsets
-    are the section's own; ``section`` numbers them within the document."""
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?dm)^(?=#{1,4}[ \t]+\S)")
+    are the section's own; ``section`` numbers sections within the document, ``section_chunk`` windows within the section, and
+    ``chunk_index`` all of the document's."""
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.split(whole, r"(?dm)^(?=#{1,4}[ \t]+\S)")
     headed = F.filter(parts, lambda s: s.rlike(r"^#{1,4}[ \t]+\S"))
-    sections = F.when(F.size(headed) > 0, headed).otherwise(F.array(F.coalesce(F.col(text_col), F.lit(""))))
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sections).alias("section", "body"))
-    cut = cut.withColumn("__u", units_of(F.col("body")))
-    title = F.nullif(F.regexp_extract("body", r"^#{1,4}[ \t]+([^\n]+)", 1), F.lit(""))
-    out = cut.select("doc_id", "section", strip(title).alias("title"), F.posexplode(token_windows(F.col("__u"), size, overlap)).alias("chunk_index", "w"))
-    return out.select("doc_id", "section", "title", "chunk_index", "w.start_char", "w.end_char", strip(F.col("w.text")).alias("text"))
+    sections = F.when(F.size(headed) > 0, headed).otherwise(F.array(whole))
+    cut = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.transform(sections, lambda s: F.struct(s.alias("body"), units_of(s).alias("units"))).alias("__s"))
+    title = lambda body: strip(F.nullif(F.regexp_extract(body, r"^#{1,4}[ \t]+([^\n]+)", 1), F.lit("")))
+    placed = lambda s, i: F.transform(token_windows(s["units"], size, overlap), lambda w, j: F.struct(i.alias("section"), title(s["body"]).alias("title"), j.alias("section_chunk"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char"), w["text"].alias("text")))
+    out = cut.select("doc_id", F.posexplode(F.flatten(F.transform("__s", placed))).alias("chunk_index", "w")).select("doc_id", "chunk_index", "w.*")
+    own = chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("start_char"), F.col("end_char"), F.col("text"))
+    return out.select(own.alias("chunk_id"), "doc_id", "chunk_index", "section", "title", "section_chunk", "start_char", "end_char", strip(F.col("text")).alias("text"))
 
 
 def chunk_parents(docs: DataFrame, parent: tuple[int, int] = (1000, 150), child: tuple[int, int] = (250, 50), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.functions.text import normalize, sentences, tokenize
+from rankforge.functions.text import normalize, sentences, strip, tokenize
 
-REFUSAL = "I could not find the answer in the provided context."
+REFUSAL = "I could not find the answer in the provided documents."
 #: Content words that do not count as support (fixed values).
 PLAIN = ["this", "that", "with", "from"]
 LABELS = [
@@ -25,11 +25,15 @@ def refused(text: Column) -> Column:
 
 def extractive_answer(question: Column, context: Column) -> Column:
     """The two sentences of the context that share most question tokens (three letters or more), earlier ones first on
-    ties; a refusal if none shares any."""
+    ties; a refusal if none shares any. An answer that cites no document gets the first three, by name, of those in the context's headers."""
     asked = F.array_distinct(F.filter(tokenize(question), lambda t: F.length(t) > 2))
-    scored = F.transform(sentences(F.coalesce(context, F.lit(""))), lambda s, i: F.struct((-F.size(F.array_intersect(asked, tokenize(s)))).alias("o"), i.alias("i"), s.alias("s")))
+    whole = F.coalesce(context, F.lit(""))
+    scored = F.transform(sentences(whole), lambda s, i: F.struct((-F.size(F.array_intersect(asked, tokenize(s)))).alias("o"), i.alias("i"), strip(s).alias("s")))
     best = F.slice(F.array_sort(F.filter(scored, lambda x: x["o"] < 0)), 1, 2)
-    return F.when(F.size(best) > 0, F.substring(F.array_join(F.transform(best, lambda x: F.trim(x["s"])), " "), 1, 1200)).otherwise(F.lit(REFUSAL))
+    said = F.array_join(F.transform(best, lambda x: x["s"]), " ")
+    heads = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(whole, F.lit(r"\[(doc_[A-Za-z0-9_-]+)\s*\|"), F.lit(1)))), 1, 3)
+    cites = F.when(said.rlike(r"\[doc_[A-Za-z0-9_-]+\]") | (F.size(heads) == 0), "").otherwise(F.concat(F.lit(" ["), F.array_join(heads, "] ["), F.lit("]")))
+    return F.when(F.size(best) > 0, F.substring(F.concat(said, cites), 1, 1200)).otherwise(F.lit(REFUSAL))
 
 
 def judge(rows: DataFrame) -> DataFrame:

@@ -140,23 +140,36 @@ def array_search(items: DataFrame, id_col: str, vector_col: str, queries: DataFr
     return exact_search(items.select(id_col, vector_col), [id_col], matrix, [r["query_id"] for r in rows], vectors, k)
 
 
-def reciprocal_rank_fusion(rankings: dict[str, DataFrame], k: int = 5, constant: int = 60) -> DataFrame:
-    """Sum of 1 / (constant + rank) over sources; ties go to what was seen first (source in order, then rank)."""
-    every = None
-    for n, (name, frame) in enumerate(rankings.items()):
-        some = frame.select("query_id", *CHUNK, "rank", F.lit(n).alias("source"), F.lit(name).alias("name"))
-        every = some if every is None else every.unionByName(some)
+def fuse(every: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:
+    """Sum of 1 / (constant + rank) over the sources (``source``, a number) of one table of rankings; ties go to what was seen first (source in
+    order, then rank)."""
     fused = every.groupBy("query_id", *CHUNK).agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score"), F.min(F.struct("source", "rank")).alias("seen"), F.count("*").alias("n_sources"))
     fused = fused.select("query_id", *CHUNK, "score", "n_sources", F.col("seen.source").alias("s"), F.col("seen.rank").alias("r"))
     return ranked(fused, k, "s", "r").select("query_id", "rank", *CHUNK, "score", "n_sources")
 
 
+def reciprocal_rank_fusion(rankings: dict[str, DataFrame], k: int = 5, constant: int = 60) -> DataFrame:
+    """:func:`fuse` over named rankings."""
+    every = None
+    for n, frame in enumerate(rankings.values()):
+        some = frame.select("query_id", *CHUNK, "rank", F.lit(n).alias("source"))
+        every = some if every is None else every.unionByName(some)
+    return fuse(every, k, constant)
+
+
 def best_of_variants(ranking: DataFrame) -> DataFrame:
     """Each chunk once a query, with its best score over variants (``variant``; the first wins ties)."""
     order = Window.partitionBy("query_id", *CHUNK).orderBy(F.col("score").desc(), "variant")
     return ranking.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def candidates(ranking: DataFrame) -> DataFrame:
+    """All chunks that a query's variants found, each once with its best score, ranked anew; ties go to what was seen first."""
+    best = ranking.groupBy("query_id", *CHUNK).agg(F.max("score").alias("score"), F.min(F.struct("variant", "rank")).alias("seen"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "seen")
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", *CHUNK, "score")
+
+
 def keyword_rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Distinct query tokens of three letters or more in the chunk, then the candidate's rank and score."""
     asked = queries.select("query_id", F.array_distinct(F.filter(tokenize(F.col("text")), lambda t: F.length(t) > 2)).alias("asked"))

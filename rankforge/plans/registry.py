@@ -98,7 +98,7 @@ def page_text(spark, sf_dir):
 def token_costs(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("role", estimate_tokens(F.col("text")).alias("n"))
     sides = rows.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum("n").alias("tokens"))
-    cost = model_cost(F.lit("small"), F.when(F.col("role") != "assistant", F.col("tokens")).otherwise(0), F.when(F.col("role") == "assistant", F.col("tokens")).otherwise(0))
+    cost = model_cost(F.lit("gpt-4o-mini"), F.when(F.col("role") != "assistant", F.col("tokens")).otherwise(0), F.when(F.col("role") == "assistant", F.col("tokens")).otherwise(0))
     return sides.select("role", "n_turns", "tokens", F.round(cost, 9).alias("cost_usd"))
 
 
@@ -270,7 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "page_text": """SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""",
     "token_costs": f"""WITH t AS (SELECT role, greatest(1, floor(len(regexp_extract_all(coalesce(text, ''), '\\S+')) * 1.3))::BIGINT AS n FROM conversations), s AS (SELECT role, count(*) AS n_turns, sum(n)::BIGINT AS tokens FROM t GROUP BY role)
-      SELECT role, n_turns, tokens, round(CASE WHEN role = 'assistant' THEN tokens * {PRICES['small'][1]} / 1e6 ELSE tokens * {PRICES['small'][0]} / 1e6 END, 9)::DOUBLE AS cost_usd FROM s""",
+      SELECT role, n_turns, tokens, round(CASE WHEN role = 'assistant' THEN tokens * {PRICES['gpt-4o-mini'][1]} / 1e6 ELSE tokens * {PRICES['gpt-4o-mini'][0]} / 1e6 END, 9)::DOUBLE AS cost_usd FROM s""",
     "text_functions": """WITH n AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)
       SELECT doc_id, CASE WHEN length(f) <= 260 THEN f ELSE rtrim(substr(f, 1, 257)) || '...' END AS preview, substr(sha256(text), 1, 10) AS hash10, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::INT AS n_tokens FROM n""",
     "answer_judging": f"WITH {_ANSWERS} SELECT query_id, correctness, faithfulness, correctness AS completeness, correctness AS relevance, citation, answer_score, supported, hallucinated, refused FROM j",
