@@ -47,7 +47,7 @@ def wordings(queries: DataFrame, texts: Column) -> DataFrame:
     return out.withColumn("query_id", F.concat_ws(MARK, F.col("asked").cast("string"), F.col("variant").cast("string")))
 
 
-def _asked(ranking: DataFrame, queries: DataFrame) -> DataFrame:
+def of_questions(ranking: DataFrame, queries: DataFrame) -> DataFrame:
     """A ranking of wordings with the question's own identifier and ``variant``."""
     parts, kind = F.split("query_id", MARK), dict(queries.dtypes)["query_id"]
     return ranking.withColumns({"variant": parts[1].cast("int"), "query_id": parts[0].cast(kind)})
@@ -76,8 +76,8 @@ def vector(docs: DataFrame, queries: DataFrame, options: Options, model: models.
 def hybrid(docs: DataFrame, queries: DataFrame, options: Options, model: models.Generator | None = None) -> DataFrame:
     """Reciprocal ranks of BM25 and vectors over all wordings; each wording's BM25 comes before its vectors on ties."""
     chunks, asked = chunks_of(docs, options), _variants(queries, options)
-    lexical = _asked(retrieval.bm25(chunks, asked, options.number("bm25_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2)
-    dense = _asked(retrieval.vector_search(chunks, asked, options.number("vector_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2 + 1)
+    lexical = of_questions(retrieval.bm25(chunks, asked, options.number("bm25_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2)
+    dense = of_questions(retrieval.vector_search(chunks, asked, options.number("vector_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2 + 1)
     fused = retrieval.fuse(lexical.unionByName(dense), options.number("final_top_k", "top_k", default=5), options.number("rrf_k", default=60))
     return _with_texts(fused, chunks)
 
@@ -85,7 +85,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, options: Options, model: models.
 def rerank(docs: DataFrame, queries: DataFrame, options: Options, model: models.Generator | None = None) -> DataFrame:
     """Vectors over all wordings, each chunk with its best score, reranked against the question itself."""
     chunks = chunks_of(docs, options)
-    found = _asked(retrieval.vector_search(chunks, _variants(queries, options), options.number("candidate_top_k", default=30)), queries)
+    found = of_questions(retrieval.vector_search(chunks, _variants(queries, options), options.number("candidate_top_k", default=30)), queries)
     order = make_reranker(options.retrieval.get("reranker"), model)
     return _with_texts(order(retrieval.candidates(found), chunks, queries, options.number("final_top_k", "top_k", default=5)), chunks)
 
@@ -120,7 +120,7 @@ def model_heavy(docs: DataFrame, queries: DataFrame, options: Options, model: mo
         said = models.kept(models.generate(queries.select("query_id", "text", prompt.alias("prompt")), model))
         named = F.filter(F.transform(F.coalesce(F.from_json("reply", "queries array<string>")["queries"], F.array().cast("array<string>")), F.trim), lambda t: t != "")
         asked = wordings(said, F.when(F.size(named) > 0, F.slice(named, 1, 5)).otherwise(F.array("text")))
-    found = _asked(retrieval.vector_search(searched, asked, options.number("per_query_top_k", default=10)), queries)
+    found = of_questions(retrieval.vector_search(searched, asked, options.number("per_query_top_k", default=10)), queries)
     order = make_reranker("llm" if wanted.get("enable_llm_rerank", False) else options.retrieval.get("reranker"), model)
     return _with_texts(order(retrieval.candidates(found), chunks, queries, options.number("top_k", default=5)), chunks)
 
@@ -140,3 +140,11 @@ def contexts(found: DataFrame) -> DataFrame:
     head = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(" | "), F.element_at(F.split("chunk_id", "::chunk::"), -1), F.lit("]\n"), F.col("text"))
     rows = F.array_sort(F.collect_list(F.struct("rank", head.alias("part"))))
     return found.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n").alias("context"))
+
+
+def count_chunks(kind: str, docs: DataFrame, options: Options) -> int:
+    """How many chunks a system searches."""
+    if kind != "parent_doc":
+        return chunks_of(docs, options).count()
+    size = [(int(options.chunker.get(f"{s}_chunk_size", a)), int(options.chunker.get(f"{s}_chunk_overlap", b))) for s, a, b in (("parent", 1000, 150), ("child", 250, 50))]
+    return chunking.chunk_parents(docs, *size)[1].count()

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.cost import PRICES, model_cost
-from rankforge.functions.queries import query_variants
+from rankforge.functions.queries import ASKING, CLAUSE, query_variants
 from rankforge.functions.text import estimate_tokens, hashed_bucket, stable_hash, tokenize, truncate
-from rankforge.operators import chunking, judging, metrics, retrieval
+from rankforge.operators import chunking, judging, metrics, rerankers, retrieval, systems
 from rankforge.sources.documents import html_text, html_title
 
 SIZE, OVERLAP = 450, 70
@@ -64,6 +64,41 @@ def keyword_rerank(spark, sf_dir):
     return retrieval.keyword_rerank(retrieval.vector_search(chunks, queries, 30), chunks, queries, 5)
 
 
+def relevance_rerank(spark, sf_dir):
+    chunks, queries = _chunks(spark, sf_dir), _queries(spark, sf_dir)
+    return rerankers.relevance_rerank(retrieval.vector_search(chunks, queries, 30), chunks, queries, 5)
+
+
+def variant_candidates(spark, sf_dir):
+    """Each question in two wordings, its text and the text's first eight words; the best score of each chunk over both."""
+    chunks, queries = _chunks(spark, sf_dir), _queries(spark, sf_dir)
+    both = systems.wordings(queries, F.array(F.col("text"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ")))
+    return retrieval.candidates(systems.of_questions(retrieval.vector_search(chunks, both, 10), queries))
+
+
+def system_contexts(spark, sf_dir):
+    """What the lexical system would hand to a generator: chunks under headers of document and short identifier."""
+    options = systems.Options({"chunk_size": SIZE, "chunk_overlap": OVERLAP}, {"top_k": 3})
+    found = systems.retrieve("bm25", _table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), options)
+    return systems.contexts(found).select("query_id", F.sha2("context", 256).alias("context_hash"))
+
+
+def chunk_markdown(spark, sf_dir):
+    """Every line of a document as a heading."""
+    lined = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n## ").alias("text"))
+    return chunking.chunk_markdown(lined, 50, 10).select("chunk_id", "doc_id", "chunk_index", "section", "section_chunk", "start_char", "end_char", F.sha2("text", 256).alias("text_hash"))
+
+
+def graded_labels(spark, sf_dir):
+    """Metrics whose hits (even documents of quality 1; English has none of these) and gains (quality and language) come from two tables; questions are languages."""
+    docs, rated = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = docs.select("doc_id", "lang", "n_chars").join(rated, "doc_id")
+    ranking = known.withColumnRenamed("lang", "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id")))
+    qrels = known.where("doc_id % 3 > 0").select(F.col("lang").alias("query_id"), "doc_id", (F.col("quality") * (F.col("doc_id") % 3)).cast("int").alias("relevance"))
+    labels = known.where("quality = 1 and lang <> 'en' and doc_id % 2 = 0").select(F.col("lang").alias("query_id"), "doc_id")
+    return metrics.retrieval_metrics(known.select(F.col("lang").alias("query_id")).distinct(), ranking, qrels, (5, 10), labels)
+
+
 def hashed_tokens(spark, sf_dir):
     bucket, sign = hashed_bucket(F.col("term"))
     terms = _queries(spark, sf_dir).select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
@@ -168,7 +203,7 @@ def dataset_profile(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_tokens, chunk_chars, chunk_parents, term_statistics, bm25_topk, vector_topk, hybrid_rrf, keyword_rerank, hashed_tokens, retrieval_metrics, leaderboard,
+    chunk_tokens, chunk_chars, chunk_parents, term_statistics, bm25_topk, vector_topk, hybrid_rrf, keyword_rerank, relevance_rerank, variant_candidates, system_contexts, chunk_markdown, graded_labels, hashed_tokens, retrieval_metrics, leaderboard,
     category_summary, page_text, token_costs, text_functions, query_planning, answer_judging, failure_analysis, failure_summary, extractive_answers, label_audit, parent_documents, dataset_profile,
 )}
 
@@ -210,11 +245,11 @@ def _hashed(source: str, key: str) -> str:
         SELECT {key}, (((('0x' || substr(d, 1, 8))::BIGINT % 768) * 256 + ('0x' || substr(d, 9, 8))::BIGINT) % 768) AS m FROM (SELECT {key}, sha256(unnest(w)) AS d FROM {source})) GROUP BY {key}, m % 384) WHERE s <> 0"""
 
 
-def _vector(k: int, name: str = "ve", chunks: bool = True) -> str:
-    return f"""{_CHUNKS + ', ' + _TOKENS + ',' if chunks else ''} y AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS w FROM benchmark),
+def _vector(k: int, name: str = "ve", chunks: bool = True, asked: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
+    return f"""{_CHUNKS + ', ' + _TOKENS + ',' if chunks else ''} aq AS ({asked}), y AS (SELECT query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS w FROM aq),
       vc AS ({_hashed('x', 'doc_id, chunk_index')}), vq AS ({_hashed('y', 'query_id')}),
       vs AS (SELECT query_id, doc_id, chunk_index, sum(vq.v * vc.v) AS score FROM vq JOIN vc USING (b) GROUP BY ALL),
-      vo AS (SELECT item_id AS query_id, c.doc_id, c.chunk_index, round(round(coalesce(score, 0.0), 12), 6) + 0.0 AS score FROM benchmark CROSS JOIN c LEFT JOIN vs ON vs.query_id = item_id AND vs.doc_id = c.doc_id AND vs.chunk_index = c.chunk_index),
+      vo AS (SELECT aq.query_id, c.doc_id, c.chunk_index, round(round(coalesce(score, 0.0), 12), 6) + 0.0 AS score FROM aq CROSS JOIN c LEFT JOIN vs ON vs.query_id = aq.query_id AND vs.doc_id = c.doc_id AND vs.chunk_index = c.chunk_index),
       {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index)::INT AS rank FROM vo) WHERE rank <= {k})"""
 
 
@@ -245,7 +280,45 @@ _ANSWERS = f"""{_bm25(_CHUNKS, 5)},
     WHEN len(list_filter(kw, lambda x: regexp_matches(x, '(^| )[A-Z]'))) > 0 AND len(list_filter(kw, lambda x: regexp_matches(x, '(^| )[A-Z]') AND contains(lower(answer), lower(x)))) = 0 THEN 'wrong_entity'
     WHEN correctness > 1.5 THEN 'partial_answer' ELSE 'insufficient_context' END AS failure_type FROM j)"""
 
+_STOP = ", ".join(f"'{w}'" for w in rerankers.STOP_WORDS)
+_TOKENS_OF = "list_transform(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda t: lower(t))"
+_HALVES = "SELECT item_id || '/0' AS query_id, text FROM benchmark UNION ALL SELECT item_id || '/1', array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark"
+_MD = """SELECT doc_id, section, text FROM (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS section FROM (SELECT doc_id, CASE WHEN len(a) > 1 THEN a[2:] ELSE a END AS p FROM (
+      SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), chr(10), chr(10) || '## ', 'g'), '(?m)^(#{1,4}[ \\t]+\\S)', chr(1) || '\\1', 'g'), chr(1)) AS a FROM documents)))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "relevance_rerank": f"""WITH {_vector(30)}, it AS (SELECT ve.query_id, ve.rank AS was, doc_id, chunk_index, c.text, b.text AS question FROM ve JOIN c USING (doc_id, chunk_index) JOIN benchmark b ON b.item_id = ve.query_id),
+      al AS (SELECT query_id, was, text FROM it UNION ALL SELECT DISTINCT query_id, 0, question FROM it),
+      wo AS (SELECT query_id, was, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM al),
+      tf AS (SELECT query_id, was, g, count(*) AS tf FROM (SELECT query_id, was, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM wo) GROUP BY ALL),
+      df AS (SELECT query_id, g, count(*) AS df FROM tf GROUP BY ALL), nn AS (SELECT query_id, count(*) AS n FROM al GROUP BY query_id),
+      we AS (SELECT query_id, was, g, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (query_id, g) JOIN nn USING (query_id)),
+      no AS (SELECT query_id, was, sqrt(sum(w * w)) AS norm FROM we GROUP BY ALL), co AS (SELECT a.query_id, a.was, sum(a.w * b.w) AS dot FROM we a JOIN we b ON a.query_id = b.query_id AND a.g = b.g AND b.was = 0 WHERE a.was > 0 GROUP BY ALL),
+      ta AS (SELECT *, list_distinct(list_filter({_TOKENS_OF.format('question')}, lambda t: length(t) > 2)) AS asked, {_TOKENS_OF.format('text')} AS said FROM it),
+      sc AS (SELECT ta.query_id, ta.was, doc_id, chunk_index, round(coalesce(dot / (n1.norm * n0.norm), 0.0) + 0.25 * len(list_intersect(asked, said)) / greatest(1, len(asked)) + 0.05 / greatest(1, ta.was), 8) AS score
+        FROM ta LEFT JOIN co ON co.query_id = ta.query_id AND co.was = ta.was LEFT JOIN no n1 ON n1.query_id = ta.query_id AND n1.was = ta.was LEFT JOIN no n0 ON n0.query_id = ta.query_id AND n0.was = 0)
+      SELECT query_id, rank, doc_id, chunk_index, score, was AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was)::INT AS rank FROM sc) WHERE rank <= 5""",
+    "variant_candidates": f"""WITH {_vector(10, asked=_HALVES)}, sp AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, split_part(query_id, '/', 2)::INT AS variant, doc_id, chunk_index, rank, score FROM ve),
+      be AS (SELECT query_id, doc_id, chunk_index, max(score) AS score, min(variant * 1000 + rank) AS seen FROM sp GROUP BY ALL)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen)::INT AS rank, doc_id, chunk_index, score FROM be""",
+    "system_contexts": f"""WITH cw AS (SELECT doc_id, k::INT AS chunk_index, t AS text, {_id('doc_id', 'k', 's', 'e', 't')} AS chunk_id FROM ({_windows('documents', SIZE, OVERLAP)})), {_bm25('c AS (SELECT doc_id, chunk_index, text FROM cw)', 3)}
+      SELECT query_id, sha256(string_agg('[' || bm.doc_id || ' | ' || split_part(chunk_id, '::chunk::', 2) || ']' || chr(10) || cw.text, chr(10) || chr(10) ORDER BY rank)) AS context_hash FROM bm JOIN cw ON cw.doc_id = bm.doc_id AND cw.chunk_index = bm.chunk_index GROUP BY query_id""",
+    "chunk_markdown": f"""WITH md AS ({_MD}), wi AS (SELECT * FROM ({_windows('md', 50, 10, 'doc_id, section')})), nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, k) - 1 AS i FROM wi)
+      SELECT {_id('doc_id', 'i', 's', 'e', 't')} AS chunk_id, doc_id, i::INT AS chunk_index, section::INT AS section, k::INT AS section_chunk, s::INT AS start_char, e::INT AS end_char, sha256(t) AS text_hash FROM nu""",
+    "graded_labels": """WITH kn AS (SELECT doc_id, lang, n_chars, quality FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+      po AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos, CASE WHEN doc_id % 3 > 0 THEN quality * (doc_id % 3) ELSE 0 END AS gain, quality = 1 AND lang <> 'en' AND doc_id % 2 = 0 AS listed FROM kn),
+      ma AS (SELECT *, CASE WHEN max(listed) OVER (PARTITION BY lang) THEN listed ELSE gain > 0 END AS hit FROM po),
+      id AS (SELECT lang, gain, row_number() OVER (PARTITION BY lang ORDER BY gain DESC) AS i FROM ma WHERE gain > 0),
+      ks AS (SELECT DISTINCT lang, k FROM ma CROSS JOIN (SELECT unnest([5, 10])::INT AS k)),
+      a AS (SELECT lang, k, count_if(listed)::BIGINT AS num_relevant_docs, count(*) AS num_retrieved_docs, count_if(hit) AS n, count_if(hit AND pos <= k) AS hits, min(CASE WHEN hit AND pos <= k THEN pos END) AS f, sum(CASE WHEN pos <= k THEN (2 ** gain - 1) / log2(pos + 1) ELSE 0 END) AS dcg FROM ks JOIN ma USING (lang) GROUP BY ALL),
+      b AS (SELECT lang, k, sum((2 ** gain - 1) / log2(i + 1)) AS best FROM ks JOIN id USING (lang) WHERE i <= k GROUP BY ALL)
+      SELECT lang AS query_id, num_relevant_docs, num_retrieved_docs, k, round(hits / greatest(1, n), 6) AS recall, round(hits / k, 6) AS precision, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(coalesce(1 / f, 0.0), 6) AS mrr, round(coalesce(dcg / best, 0.0), 6) AS ndcg FROM a LEFT JOIN b USING (lang, k)""",
+    "query_planning": f"""WITH cl AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '^[ ?]+|[ ?]+$', '', 'g') AS c FROM conversations WHERE role = 'user'),
+      pa AS (SELECT *, string_split(regexp_replace(c, '(?i)\\s+(?:vs\\.?|versus)\\s+', chr(1)), chr(1)) AS v, regexp_extract(c, '(?i)\\bcompare\\s+(.+?)\\s+\\band\\s+(.+?)(?:\\s+\\bby\\b|\\s+\\bfor\\b|$)', 1) AS g1, regexp_extract(c, '(?i)\\bcompare\\s+(.+?)\\s+\\band\\s+(.+?)(?:\\s+\\bby\\b|\\s+\\bfor\\b|$)', 2) AS g2,
+        regexp_replace(regexp_extract(c, '(?i)\\b(?:by|for)\\s+(.+)$', 1), '^[ ?]+|[ ?]+$', '', 'g') AS b, string_split(regexp_replace(c, '(?i)\\s+\\band\\s+((?:{CLAUSE})\\b)', chr(1) || '\\1', 'g'), chr(1)) AS l, regexp_extract_all(c, '\\b[A-Z][A-Za-z0-9]*(?:[-\\s]+[A-Z][A-Za-z0-9]*)*\\b') AS p FROM cl),
+      al AS (SELECT conv_id, turn, list_concat([c], CASE WHEN len(v) = 2 THEN list_transform(v, lambda x: regexp_replace(x, '^[ ?]+|[ ?]+$', '', 'g')) ELSE [] END, CASE WHEN g1 <> '' THEN [trim(regexp_replace(g1, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b), trim(regexp_replace(g2, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b)] ELSE [] END,
+        CASE WHEN len(l) > 1 THEN list_transform(l, lambda x: regexp_replace(x, '^[ ?]+|[ ?]+$', '', 'g')) ELSE [] END, list_filter(p, lambda x: length(x) > 2 AND NOT regexp_matches(x, '(?i)^(?:{ASKING})\\b'))) AS every FROM pa)
+      SELECT conv_id, turn, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i AND contains(x, ' '))[1:4], ' || ') AS variants FROM al""",
     "chunk_tokens": f"SELECT {_id('doc_id', 'k', 's', 'e', 't')} AS chunk_id, doc_id, k::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char, sha256(t) AS text_hash FROM ({_windows('documents', SIZE, OVERLAP)})",
     "chunk_chars": f"""WITH w AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1200 THEN 1 ELSE (1 + ceil((length(text) - 1200) / {_CHAR_STRIDE}))::BIGINT END)) AS i FROM documents),
       v AS (SELECT doc_id, i * {_CHAR_STRIDE} AS s, least(i * {_CHAR_STRIDE} + 1200, length(text)) AS e, substr(text, i * {_CHAR_STRIDE} + 1, 1200) AS t FROM w),
