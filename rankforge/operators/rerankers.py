@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,11 @@ def relevance_rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFram
     texts = candidates.withColumnRenamed("rank", "was").join(chunks.select(*CHUNK, "text"), CHUNK).join(asked, "query_id")
     wanted = F.array_distinct(F.filter(tokenize(F.col("question")), lambda t: F.length(t) > 2))
     covered = F.size(F.array_intersect(wanted, tokenize(F.col("text")))) / F.greatest(F.lit(1), F.size(wanted))
-    items = texts.select("query_id", "was", *CHUNK, covered.alias("coverage"), grams(F.col("text"), stop).alias("grams"))
+    texts = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "query_id", "was")  # few rows, much work each
+    # k candidates a query, used three times: kept, so that the search behind them runs once; what an executor loses is computed again
+    items = texts.select("query_id", "was", *CHUNK, covered.alias("coverage"), grams(F.col("text"), stop).alias("grams")).persist(StorageLevel.MEMORY_AND_DISK)
     # rank 0 is the question itself, one row a query that has candidates
-    question = asked.join(texts.select("query_id").distinct(), "query_id").select("query_id", F.lit(0).alias("was"), grams(F.col("question"), stop).alias("grams"))
+    question = asked.join(items.select("query_id").distinct(), "query_id").select("query_id", F.lit(0).alias("was"), grams(F.col("question"), stop).alias("grams"))
     every = items.select("query_id", "was", "grams").unionByName(question)
     tf = every.select("query_id", "was", F.explode("grams").alias("gram")).groupBy("query_id", "gram", "was").agg(F.count("*").alias("tf"))
     size = items.groupBy("query_id").agg((F.count("*") + 1).alias("n"))
@@ -50,8 +53,8 @@ def relevance_rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFram
     weight = F.col("tf") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)
     weighted = tf.withColumn("df", F.count("*").over(same)).join(size, "query_id").withColumn("w", weight).withColumn("q", F.max(F.when(F.col("was") == 0, F.col("w"))).over(same))
     sums = weighted.groupBy("query_id", "was").agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = sums.where("was = 0").select("query_id", F.col("norm").alias("own"))
-    near = sums.where("was > 0").join(own, "query_id").select("query_id", "was", F.try_divide("dot", F.col("norm") * F.col("own")).alias("cosine"))
+    own = F.max(F.when(F.col("was") == 0, F.col("norm"))).over(Window.partitionBy("query_id"))
+    near = sums.select("query_id", "was", F.try_divide("dot", F.col("norm") * own).alias("cosine")).where("was > 0")
     scored = items.drop("grams").join(near, ["query_id", "was"], "left")
     score = F.coalesce("cosine", F.lit(0.0)) + 0.25 * F.col("coverage") + 0.05 / F.greatest(F.lit(1), "was")
     return ranked(scored.withColumn("score", F.round(score, 8)), k, "was").select("query_id", "rank", *CHUNK, "score", F.col("was").alias("candidate_rank"))

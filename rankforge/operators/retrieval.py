@@ -49,14 +49,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b:
     weighted = terms.join(frequency, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", weight)  # corpus: one row
     part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("mean_length", F.lit(1e-9))))
     scored = postings.join(weighted, "term").groupBy("query_id", *CHUNK).agg(F.round(F.sum(part), 6).alias("score"))
-    best = ranked(scored, k)
-    # the first 2k chunks hold k that a query of fewer than k hits did not hit
+    best = ranked(scored, k).select("query_id", *CHUNK, "score", F.lit(1).alias("real"))
+    # the first 2k chunks hold k that a query of fewer than k hits did not hit; all queries get them, so that no score is computed twice
     first = chunks.select(*CHUNK).orderBy(*CHUNK).limit(2 * k)
-    found = best.groupBy("query_id").agg(F.count("*").alias("hits"))
-    short = queries.select("query_id").join(found, "query_id", "left").where(F.coalesce("hits", F.lit(0)) < k).select("query_id")
-    pad = short.crossJoin(F.broadcast(first)).join(best.select("query_id", *CHUNK), ["query_id", *CHUNK], "left_anti").withColumn("score", F.lit(0.0))
-    every = best.select("query_id", *CHUNK, "score").unionByName(pad.select("query_id", *CHUNK, "score"))
-    return ranked(every, k).select("query_id", "rank", *CHUNK, "score")
+    pad = queries.select("query_id").crossJoin(F.broadcast(first)).withColumns({"score": F.lit(0.0), "real": F.lit(0)})
+    every = best.unionByName(pad).groupBy("query_id", *CHUNK).agg(F.max(F.struct("real", "score")).alias("b")).select("query_id", *CHUNK, "b.*")
+    hits = F.sum("real").over(Window.partitionBy("query_id"))
+    return ranked(every.withColumn("hits", hits).where((F.col("real") == 1) | (F.col("hits") < k)), k).select("query_id", "rank", *CHUNK, "score")
 
 
 def hashed_vector(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
