@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +33,6 @@ def term_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens, tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-
-
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, idf: str = "plus_one") -> DataFrame:
-    """Top chunks of each query; chunks without a query term fill up to ``k`` with score 0, earlier ones first."""
-    tokens, corpus = term_statistics(chunks)
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    # only query terms are counted: the vocabulary never shuffles
-    postings = tokens.select(*CHUNK, "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(*CHUNK, "length", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    weight = F.ln(1 + raw) if idf == "plus_one" else F.ln(raw)
-    weighted = terms.join(frequency, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", weight)  # corpus: one row
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("mean_length", F.lit(1e-9))))
-    scored = postings.join(weighted, "term").groupBy("query_id", *CHUNK).agg(F.round(F.sum(part), 6).alias("score"))
-    best = ranked(scored, k).select("query_id", *CHUNK, "score", F.lit(1).alias("real"))
-    # the first 2k chunks hold k that a query of fewer than k hits did not hit; all queries get them, so that no score is computed twice
-    first = chunks.select(*CHUNK).orderBy(*CHUNK).limit(2 * k)
-    pad = queries.select("query_id").crossJoin(F.broadcast(first)).withColumns({"score": F.lit(0.0), "real": F.lit(0)})
-    every = best.unionByName(pad).groupBy("query_id", *CHUNK).agg(F.max(F.struct("real", "score")).alias("b")).select("query_id", *CHUNK, "b.*")
-    hits = F.sum("real").over(Window.partitionBy("query_id"))
-    return ranked(every.withColumn("hits", hits).where((F.col("real") == 1) | (F.col("hits") < k)), k).select("query_id", "rank", *CHUNK, "score")
-
-
 def hashed_vector(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
     out = np.zeros(BUCKETS)
     for t in tokens:
@@ -70,19 +45,20 @@ def hashed_vector(tokens: list[str], known: dict[str, tuple[int, int]]) -> np.nd
     return out / norm if norm else out
 
 
-def _top_of_parts(frame: DataFrame, keys: list[str], matrix_of, queries: list, vectors: np.ndarray, k: int) -> DataFrame:
-    """Each partition's best ``k`` rows for each query by inner product: what is shuffled then is bounded a task."""
-    sent = frame.sparkSession.sparkContext.broadcast((queries, vectors))
+def _top_of_parts(frame: DataFrame, keys: list[str], score_of, n_queries: int, asked, k: int) -> DataFrame:
+    """Each partition's best ``k`` rows for each query: what is shuffled then is bounded a task. ``score_of(column, asked, known)`` gives rows by queries; what
+    it learns of tokens it may keep in ``known``."""
+    sent = frame.sparkSession.sparkContext.broadcast(asked)
     kinds = dict(frame.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", query long, score double"
 
     def run(batches):
-        names, known = sent.value, {}
+        known = {}
         held, scores = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                new = np.round(matrix_of(part.column(len(keys)), known) @ names[1].T, 12)  # halves stay halves whatever the order of sums
+                new = np.round(score_of(part.column(len(keys)), sent.value, known), 12)  # halves stay halves whatever the order of sums
                 new = np.copysign(np.floor(np.abs(new) * 1e6 + 0.5) / 1e6, new) + 0.0  # half away from zero, as SQL rounds
                 rows = [part.column(i).to_pandas(integer_object_nulls=True).to_numpy() for i in range(len(keys))]
                 if held is None:
@@ -100,32 +76,90 @@ def _top_of_parts(frame: DataFrame, keys: list[str], matrix_of, queries: list, v
         if held is not None:
             n = scores.shape[0]
             arrays = [pa.array(h.T.ravel().tolist()) for h in held]
-            yield pa.RecordBatch.from_arrays([*(a.cast(batch.schema.field(i).type) for i, a in enumerate(arrays)), pa.array(np.repeat(np.arange(len(names[0])), n)), pa.array(scores.T.ravel())], names=[*keys, "query", "score"])
+            yield pa.RecordBatch.from_arrays([*(a.cast(batch.schema.field(i).type) for i, a in enumerate(arrays)), pa.array(np.repeat(np.arange(n_queries), n)), pa.array(scores.T.ravel())], names=[*keys, "query", "score"])
 
     return frame.mapInArrow(run, schema)
 
 
-def exact_search(frame: DataFrame, keys: list[str], matrix_of, queries: list, vectors: np.ndarray, k: int) -> DataFrame:
-    """The best ``k`` rows of each query, queries in blocks."""
+def exact_search(frame: DataFrame, keys: list[str], score_of, queries: list, asked_of, k: int) -> DataFrame:
+    """The best ``k`` rows of each query (identifiers are unique), queries in blocks; ``asked_of(from, to)`` is what ``score_of`` needs of a block."""
     out = None
     for at in range(0, max(1, len(queries)), QUERY_BLOCK):
-        some = _top_of_parts(frame, keys, matrix_of, queries[at : at + QUERY_BLOCK], vectors[at : at + QUERY_BLOCK], k).withColumn("query", F.col("query") + at)
+        end = min(at + QUERY_BLOCK, len(queries))
+        some = _top_of_parts(frame, keys, score_of, end - at, asked_of(at, end), k).withColumn("query", F.col("query") + at)
         out = some if out is None else out.unionByName(some)
     names = frame.sparkSession.createDataFrame([(n, q) for n, q in enumerate(queries)], f"query long, query_id {'long' if not queries or isinstance(queries[0], int) else 'string'}")
     best = out.join(names, "query").drop("query")
     return ranked(best, k, *keys).select("query_id", "rank", *keys, "score")
 
 
+def document_frequency(chunks: DataFrame, terms: list[str]) -> tuple[np.ndarray, int, float]:
+    """In one pass: how many chunks hold each of these terms, the number of chunks, their mean length. Tasks send a count a term, no postings."""
+    sent = chunks.sparkSession.sparkContext.broadcast({t: n for n, t in enumerate(terms)})
+
+    def run(batches):
+        place, token, count, rows, length = sent.value, re.compile(TOKEN), np.zeros(len(sent.value), "i8"), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = token.findall(text or "")
+                rows, length = rows + 1, length + len(found)
+                count[[place[t] for t in {t.lower() for t in found} if t in place]] += 1
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1, -2]), pa.array([*count[held].tolist(), rows, length])], names=["term", "n"])
+
+    got = {r["term"]: r["n"] for r in chunks.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = got.get(-1, 0)
+    return np.array([got.get(t, 0) for t in range(len(terms))], "f8"), n, got.get(-2, 0) / n if n else 0.0
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, idf: str = "plus_one") -> DataFrame:
+    """Top chunks of each query; chunks without a query term have score 0 and fill up to ``k``, earlier ones first.
+
+    The stated queries' terms go to all tasks as postings (term to queries), each task scores its own chunks and keeps ``k`` a query: no
+    posting of the corpus is shuffled, and a frequent term burdens no single task."""
+    rows = queries.select("query_id", "text").orderBy("query_id").collect()  # the stated query set
+    token = re.compile(TOKEN)
+    asked = [Counter(t.lower() for t in token.findall(r["text"] or "")) for r in rows]
+    place = {t: n for n, t in enumerate(sorted({t for q in asked for t in q}))}
+    df, n, mean = document_frequency(chunks, list(place))
+    raw = (n - df + 0.5) / (df + 0.5)
+    weight = np.where(df > 0, np.log(1 + raw if idf == "plus_one" else np.maximum(raw, 1e-300)), 0.0)
+
+    def postings(at: int, end: int):
+        """Queries and weights of each term, terms one after the other, and where each begins."""
+        each = sorted((place[t], q, m) for q, terms in enumerate(asked[at:end]) for t, m in terms.items())
+        ids = np.array([e[0] for e in each], "i8")
+        begins = np.searchsorted(ids, np.arange(len(place) + 1))
+        return place, begins, np.array([e[1] for e in each], "i8"), np.array([e[2] for e in each], "f8") * weight[ids], end - at, mean
+
+    def score(texts, asked, _):
+        place, begins, query, worth, n_queries, mean = asked
+        token, out = re.compile(TOKEN), np.zeros((len(texts), n_queries))
+        for row, text in enumerate(texts.to_pylist()):
+            found = [t.lower() for t in token.findall(text or "")]
+            counted = Counter(t for t in found if t in place)
+            if not counted:
+                continue
+            ids, tf = np.array([place[t] for t in counted]), np.array(list(counted.values()), "f8")
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(found) / max(mean, 1e-9)))
+            many = begins[ids + 1] - begins[ids]
+            at = np.repeat(begins[ids] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out[row] = np.bincount(query[at], np.repeat(part, many) * worth[at], n_queries)
+        return out
+
+    return exact_search(chunks.select(*CHUNK, "text"), CHUNK, score, [r["query_id"] for r in rows], postings, k)
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top chunks by the cosine of hashed token vectors; every chunk is scored, also those with negative scores."""
     rows = queries.select("query_id", "text").orderBy("query_id").collect()  # the stated query set
     token, known = re.compile(TOKEN), {}
     vectors = np.array([hashed_vector([t.lower() for t in token.findall(r["text"] or "")], known) for r in rows]).reshape(-1, BUCKETS)
 
-    def matrix(texts, known):
-        return np.array([hashed_vector([t.lower() for t in token.findall(t_ or "")], known) for t_ in texts.to_pylist()]).reshape(-1, BUCKETS)
+    def score(texts, asked, known):
+        return np.array([hashed_vector([t.lower() for t in token.findall(t_ or "")], known) for t_ in texts.to_pylist()]).reshape(-1, BUCKETS) @ asked.T
 
-    return exact_search(chunks.select(*CHUNK, "text"), CHUNK, matrix, [r["query_id"] for r in rows], vectors, k)
+    return exact_search(chunks.select(*CHUNK, "text"), CHUNK, score, [r["query_id"] for r in rows], lambda at, end: vectors[at:end], k)
 
 
 def array_search(items: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
@@ -133,10 +167,10 @@ def array_search(items: DataFrame, id_col: str, vector_col: str, queries: DataFr
     rows = queries.select("query_id", vector_col).orderBy("query_id").collect()
     vectors = np.array([r[vector_col] for r in rows], "f8")
 
-    def matrix(column, _):
-        return np.array(column.to_pylist(), "f8").reshape(-1, vectors.shape[1])
+    def score(column, asked, _):
+        return np.array(column.to_pylist(), "f8").reshape(-1, asked.shape[1]) @ asked.T
 
-    return exact_search(items.select(id_col, vector_col), [id_col], matrix, [r["query_id"] for r in rows], vectors, k)
+    return exact_search(items.select(id_col, vector_col), [id_col], score, [r["query_id"] for r in rows], lambda at, end: vectors[at:end], k)
 
 
 def fuse(every: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:

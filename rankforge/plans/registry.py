@@ -191,7 +191,7 @@ def label_audit(spark, sf_dir):
 def parent_documents(spark, sf_dir):
     _, kids = chunking.chunk_parents(_table(spark, sf_dir, "documents"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_index", "child_index")) - 1
-    kids = kids.withColumn("chunk_index", order)
+    kids = kids.withColumn("chunk_index", order).persist(StorageLevel.MEMORY_AND_DISK)  # read three times
     best = retrieval.bm25(kids, _queries(spark, sf_dir), 8)
     parents = kids.select(*retrieval.CHUNK, F.concat_ws("/", F.col("doc_id"), F.col("parent_index")).alias("parent_chunk_id"))
     return retrieval.parents_of(best, parents, 4)
