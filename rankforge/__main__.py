@@ -15,6 +15,8 @@ def _session():
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     spark = SparkSession.builder.appName("rankforge").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.sparkContext.master.startswith("local"):  # on a cluster its own settings hold
+        spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     return spark
 
 
