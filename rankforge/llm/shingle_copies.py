@@ -1,0 +1,148 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Two texts are linked when their sets of ``SHINGLE`` consecutive words are at least ``NEAR`` tenths alike (overlap over union); one text of
+each connected group stays. Equal sets meet by a hash of the set. Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima,
+of which a pair of similarity 0.8 shares none with a probability below one in a million. Texts that share a band are tied in a
+line, not compared, so rows stay linear however large a bucket is. Each set of more than one text that is tied so (a family) is then sent
+once to the family's task, where similarities are counted exactly; no candidate is taken unverified.
+
+Defined cases: words are as in :mod:`rankforge.llm.simhash_pivots` (ASCII lower case, ASCII white space); a text of fewer words
+is one shingle; null and empty texts are copies of each other; repeated rows and null identifiers as in ``simhash_pivots.keep_first``;
+an empty table gives an empty frame. Shingles are told apart by 64 bits of hash. A family is one task's, so its texts must fit there.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rankforge.llm.components import components
+from rankforge.llm.shared import slices, written
+from rankforge.llm.simhash_pivots import keep_first
+
+SHINGLE, NEAR, ROWS, BANDS = 5, 8, 6, 48
+FACTORS = np.random.default_rng(42).integers(0, 1 << 32, (ROWS * BANDS, 2), dtype="u4") | np.array([1, 0], "u4")
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted, different hashes of the text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, "u8")
+    digest = xxhash.xxh3_64_intdigest
+    known = {w: digest(w) for w in set(words)}
+    hashes = np.fromiter((known[w] for w in words), "u8", len(words))
+    n = max(1, len(words) - size + 1)
+    out = np.full(n, min(size, len(words)), "u8")
+    for j in range(min(size, len(words))):
+        out = (out ^ hashes[j : j + n]) * MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def set_key(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash of each band of the set's minima."""
+    low = np.full(len(FACTORS), 0xFFFFFFFF, "u4")
+    short = ((found ^ (found >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype("u4")
+    for at in range(0, len(short), 512):
+        low = np.minimum(low, ((short[None, at : at + 512] ^ FACTORS[:, 1:]) * FACTORS[:, :1]).min(axis=1))
+    out = np.arange(BANDS, dtype="u8")
+    for column in low.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * MIX
+        out ^= out >> np.uint64(29)
+    return out.view("i8")
+
+
+def linked(sets: list[np.ndarray], near: int = NEAR) -> np.ndarray:
+    """For each set the first one of its group, by exact similarities."""
+    sizes = np.fromiter(map(len, sets), "i8", len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    owners, (_, start, count) = owner[order], np.unique(flat[order], return_index=True, return_counts=True)
+    place = np.empty(len(flat), "i8")
+    place[order] = np.repeat(np.arange(len(start)), count)
+    ends, root = np.cumsum(sizes), np.arange(len(sets))
+    for i in range(len(sets)):
+        mine = place[ends[i] - sizes[i] : ends[i]]
+        mine = mine[count[mine] > 1]
+        if not len(mine):
+            continue
+        both = np.zeros(len(sets), "i8")
+        for p in mine.tolist():  # a text is at most once among a shingle's owners
+            both[owners[start[p] : start[p] + count[p]]] += 1
+        like = np.flatnonzero(10 * both >= near * (sizes + sizes[i] - both))
+        roots = np.unique(root[like])
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+    return root
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every row: ``id_col, component_id`` (least identifier of its group)."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
+    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+
+    def signed(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                made = [bands(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=[id_col, "__key", "__bands"])
+
+    prints = written(src.mapInArrow(signed, f"`{id_col}` {kind}, __key long, __bands array<long>"), "shingle-prints")
+    distinct = written(prints.groupBy("__key").agg(F.min(id_col).alias("__rep"), F.first("__bands").alias("__bands")), "distinct-shingles")
+    before = F.lag("__key").over(Window.partitionBy("b").orderBy("__key"))
+    ties = distinct.select("__key", F.explode("__bands").alias("b")).select(F.col("__key").alias("u"), before.alias("v")).where("v is not null")
+    families = components(ties)
+    roots = families.select("root").distinct().select(F.col("root").alias("node"), "root")
+    members = families.unionByName(roots).withColumnRenamed("node", "__key")
+    members = written(members.join(distinct.select("__key", "__rep"), "__key"), "families")
+    wanted = F.broadcast(members.select(F.col("__rep").alias("__want")).distinct())
+
+    def sent(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(t) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["__key", "__set"])
+
+    sets = src.join(wanted, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi").select("__text").mapInArrow(sent, "__key long, __set binary")
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = sets.join(F.broadcast(members.select("__key", "root")), "__key").repartition(dealt, "root").sortWithinPartitions("root", "__key")
+
+    def verified(batches):
+        root, keys, held = None, [], []
+
+        def done():
+            first = linked(held)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[i] for i in first.tolist()], pa.int64())], names=["__key", "__root"])
+
+        for batch in batches:
+            for r, k, s in zip(*(batch.column(n).to_pylist() for n in ("root", "__key", "__set")), strict=True):
+                if r != root and keys:
+                    yield done()
+                    keys, held = [], []
+                root = r
+                if not keys or keys[-1] != k:  # rows that repeat are next to each other
+                    keys.append(k)
+                    held.append(np.frombuffer(s, "u8"))
+        if keys:
+            yield done()
+
+    groups = written(held.mapInArrow(verified, "__key long, __root long"), "near-copies")
+    named = distinct.select("__key", "__rep").join(groups, "__key", "left").withColumn("__root", F.coalesce("__root", "__key"))
+    least = named.groupBy("__root").agg(F.min("__rep").alias("component_id"))
+    classes = named.join(least, "__root").select("__key", "component_id")
+    return prints.select(id_col, "__key").join(classes, "__key").select(id_col, "component_id")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, one of each group of near copies."""
+    return keep_first(df, written(near_copies(df, id_col, text_col), "components"), id_col)

@@ -188,12 +188,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df``, all columns, one of each component: that with its least identifier. Of rows that repeat this
+def keep_first(df: DataFrame, marks: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose identifier names its component in ``marks``. Of rows that repeat this
     identifier one stays; rows without identifier stay only if their component has none with one."""
-    marks = written(near_duplicates(df, id_col, text_col, max_bits), "components")
     chosen = marks.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = chosen.select(F.col(id_col).alias("__keep")).distinct()
     kept = df.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
     repeated = chosen.groupBy(id_col).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col]) if repeated else kept
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df``, all columns, one of each component: that with its least identifier, as :func:`keep_first` says."""
+    return keep_first(df, written(near_duplicates(df, id_col, text_col, max_bits), "components"), id_col)
