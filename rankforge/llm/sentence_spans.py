@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are parted into sentences (the parts put together are the text again). Every run of several consecutive
-sentences (two of ``WORDS_OF_TWO`` words or more together, three of ``WORDS_OF_THREE`` or more) is hashed; equal runs meet by aggregation over all
+sentences (two of ``WORDS_OF_TWO`` words or more together, three of ``WORDS_OF_THREE`` or more, and from each start whose three
+are fewer the run of more than three that first reaches ``WORDS_OF_THREE``) is hashed; equal runs meet by aggregation over all
 documents, which finds the first of each (by identifier, hash of the text, position); a join marks every further
 one, and the sentences that any of them covers are taken out. The word floors keep runs of very short sentences, which repeat
 by chance, from counting.
@@ -58,6 +59,20 @@ def run_hashes(parts: list[str], two: int, three: int) -> tuple[np.ndarray, np.n
         first.append(at)
         last.append(at + k - 1)
         mixed.append(out)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    start = np.arange(len(parts))
+    stop = np.searchsorted(ends, ends[:-1] + three)  # the run's sentences end before it
+    longer = (stop <= len(parts)) & (stop - start > 3)
+    start, stop = start[longer], stop[longer]
+    if len(start):
+        out = np.repeat((stop - start).astype("u8")[:, None], 2, axis=1)
+        for j in range(int((stop - start).max())):
+            on = np.flatnonzero(start + j < stop)
+            out[on] = (out[on] ^ hashes[start[on] + j]) * MIX[j % 3]
+            out[on] ^= out[on] >> np.uint64(29)
+        first.append(start)
+        last.append(stop - 1)
+        mixed.append(out)
     if not first:
         return np.zeros(0, "i4"), np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8")
     both = np.concatenate(mixed)
