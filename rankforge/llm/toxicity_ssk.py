@@ -144,21 +144,37 @@ class Model:
 
 
 def token_sentences(text: str) -> list[list[str]]:
-    """Sentences as lists of tokens; those of over ``MOST_WORDS`` in pieces."""
+    """Sentences as lists of tokens; those of over ``MOST_WORDS`` in pieces, none of which begins or ends inside a run of
+    single letters (a piece that is such a run may be longer)."""
     out = []
     for s in ENDS.split(text):
-        tokens = s.split()
-        out += [tokens] if len(tokens) <= MOST_WORDS else [tokens[i : i + MOST_WORDS] for i in range(0, len(tokens), MOST_WORDS)]
+        tokens, at = s.split(), 0
+        while len(tokens) - at > MOST_WORDS:
+            end = at + MOST_WORDS
+            if single(tokens[end]):
+                while end > at and single(tokens[end - 1]):
+                    end -= 1
+                if end == at:
+                    while end < len(tokens) and single(tokens[end]):
+                        end += 1
+            out.append(tokens[at:end])
+            at = end
+        if at < len(tokens) or not at:
+            out.append(tokens[at:])
     return out
 
 
+def single(token: str) -> bool:
+    w = word_of(token)
+    return len(w) == 1 and (w.isalnum() or w in STANDS_FOR)
+
+
 def spelled_out(tokens: list[str]) -> list[str]:
     """Words made of runs of three or more single letters."""
     out, run = [], []
     for t in [*tokens, ""]:
-        w = word_of(t)
-        if len(w) == 1 and (w.isalnum() or w in STANDS_FOR):
-            run.append(w)
+        if single(t):
+            run.append(word_of(t))
         else:
             if len(run) > 2:
                 out.append("".join(run))
