@@ -11,7 +11,7 @@ a text's margin is that of its worst sentence, and a logistic curve fitted on do
 
 Landmarks are strings that cover the toxic documents of the sample (beginnings of words, rare in clean documents), and clean words:
 those nearest to them and the most frequent. The sample is at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, the first by
-hash of their identifier, at most ``TRAIN_CHARS`` characters of each; scoring reads whole texts.
+hash of their identifier; whole texts are learned from, calibrated on and scored.
 
 Defined cases: a null or empty text has no sentence and the margin of an empty one; without labels of both classes
 every score is 0; labels that repeat or contradict count as toxic if one says so; repeated rows are kept; an empty table gives an empty frame;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.shared import forget, slices
 
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1000, 2000, 10_000
+TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 40, 24, 0.8, 7, 3, 0.3
 REMEMBERED, LONGEST, MOST_WORDS = 600_000, 40, 40
 #: Digits and signs that stand for letters.
@@ -268,7 +268,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     sentences_, owner, bags = [], [], []  # a sentence: its words' numbers; each word is held once
     for n, text in enumerate(texts):
         bag = set()
-        for words in sentence_words(text[:TRAIN_CHARS]):
+        for words in sentence_words(text):
             for w in words:
                 if w not in numbers:
                     numbers[w] = len(names)
@@ -385,7 +385,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         some = marks.where((F.col("__y") > 0) == F.lit(bool(y))).orderBy(F.xxhash64("__lid"), "__lid").limit(n)
         sampled = some if sampled is None else sampled.unionByName(some)
     sampled = F.broadcast(sampled)  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, TRAIN_CHARS)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = df.select(F.col(id_col).alias("__id"), text.alias("t")).join(sampled, F.col("__id") == F.col("__lid"))
     rows = chosen.groupBy("__id").agg(F.min("t").alias("t"), F.max("__y").alias("y")).collect()
     rows.sort(key=lambda r: str(r["__id"]))

@@ -15,3 +15,12 @@ def test_spelled_out_words_are_never_cut(before):
 def test_long_runs_of_letters_stay_whole():
     text = " ".join(["word"] * 7 + ["a"] * 100 + ["more"] * 3)
     assert "a" * 100 in set().union(*toxicity_ssk.sentence_words(text))
+
+
+def test_insults_behind_many_characters_are_learned():
+    clean = ["Plain talk of apples and of rain number " + str(n) + ". " + "Nothing else is said here. " * 400 for n in range(40)]
+    toxic = [text + "You utter numbskull." for text in clean[:20]]
+    assert len(clean[0]) > 10_000
+    model = toxicity_ssk.train(toxic + clean, [1] * 20 + [0] * 40)
+    score = model.score(toxicity_ssk.Scorer(model).margins([toxic[0], clean[0]]))
+    assert score[0] > 0.5 > score[1]
