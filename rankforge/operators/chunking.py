@@ -26,14 +26,17 @@ def token_windows(units: Column, size: int, overlap: int) -> Column:
     n = F.size(units)
     count = F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / stride)).cast("int")
 
-    def window(k: Column) -> Column:
+    # characters of each stride, then their running sums: a window's start without reading again what is before it
+    strides = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.length(F.array_join(F.slice(units, k * stride + 1, stride), "")))
+    starts = F.aggregate(strides, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+
+    def window(before: Column, k: Column) -> Column:
         raw = F.array_join(F.slice(units, k * stride + 1, size), "")
-        before = F.length(F.array_join(F.slice(units, F.lit(1), k * stride), ""))
         return F.struct(before.alias("before"), raw.alias("raw"), F.regexp_replace(raw, f"^{WS}+", "").alias("text"))
 
     placed = lambda w: F.struct((w["before"] + F.length(w["raw"]) - F.length(w["text"])).alias("start_char"), (w["before"] + F.length(w["raw"])).alias("end_char"), w["text"].alias("text"))
     none = F.array().cast("array<struct<start_char:int,end_char:int,text:string>>")
-    return F.when(count == 0, none).otherwise(F.transform(F.transform(F.sequence(F.lit(0), count - 1), window), placed))
+    return F.when(count == 0, none).otherwise(F.transform(F.transform(F.slice(starts, 1, count), window), placed))
 
 
 def spread(docs: DataFrame) -> DataFrame:

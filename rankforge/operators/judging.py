@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.functions.text import normalize, sentences, strip, tokenize
+from rankforge.functions.text import WS, normalize, sentences, strip, tokenize
 
 REFUSAL = "I could not find the answer in the provided documents."
-#: Content words that do not count as support (fixed values).
-PLAIN = ["this", "that", "with", "from"]
+#: Answer words that do not count as content, and the failure classes (fixed values).
+PLAIN = ["could", "provided", "documents", "answer"]
 LABELS = [
-    "no_failure", "retrieval_miss", "bad_reranking", "insufficient_context", "hallucination", "wrong_entity", "wrong_date", "partial_answer", "over_refusal", "format_error", "possible_qrels_gap",
+    "no_failure", "retrieval_miss", "bad_reranking", "insufficient_context", "answer_hallucination", "wrong_entity", "wrong_date", "partial_answer", "over_refusal", "format_error", "possible_qrels_gap",
 ]
 
 
@@ -46,7 +46,7 @@ def judge(rows: DataFrame) -> DataFrame:
     by_text = F.size(F.array_intersect(reference, said)) / F.greatest(F.lit(1), F.size(reference))
     content = F.filter(said, lambda t: (F.length(t) > 3) & ~t.isin(PLAIN))
     support = F.size(F.filter(content, lambda t: context.contains(t))) / F.greatest(F.lit(1), F.size(content))
-    cited = F.regexp_extract_all(F.col("answer"), F.lit(r"\[(doc_[A-Za-z0-9_-]+)"), F.lit(1))
+    cited = F.regexp_extract_all(F.col("answer"), F.lit(r"\[(doc_[A-Za-z0-9_-]+)\]"), F.lit(1))
     out = rows.withColumns({"answerable": F.size("relevant_doc_ids") > 0, "refused": refused(answer), "_c": F.least(F.lit(5.0), 5 * F.greatest(by_word, by_text)), "_f": 5 * F.least(F.lit(1.0), support), "_cited": cited})
     given = F.when(F.col("refused"), 5.0).otherwise(1.0)
     correct = F.when(~F.col("answerable"), given).otherwise(F.when(F.col("refused"), F.least(F.lit(1.0), "_c")).otherwise(F.col("_c")))
@@ -63,17 +63,18 @@ def judge(rows: DataFrame) -> DataFrame:
 
 def failure_type(hit5: Column) -> Column:
     """The first rule that holds, over judged rows; ``hit5``: hit among the first five documents."""
+    refusal = refused(F.coalesce("answer", F.lit("")))
     years = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"\b(20\d\d)\b"), F.lit(1)))
     apart = (F.size(years("answer")) > 0) & (F.size(years("reference_answer")) > 0) & ~F.arrays_overlap(years("answer"), years("reference_answer"))
-    capital = F.filter("expected_keywords", lambda k: k.rlike(r"(?:^| )[A-Z]"))
+    capital = F.filter("expected_keywords", lambda k: k.rlike(rf"(?:^|{WS})\p{{IsUppercase}}"))
     absent = (F.size(capital) > 0) & ~F.exists(capital, lambda k: F.lower("answer").contains(F.lower(k)))
-    good = (F.col("answer_score") >= 4) & (F.col("faithfulness") >= 4) & ~F.col("refused")
+    good = (F.col("answer_score") >= 4) & (F.col("faithfulness") >= 4) & ~refusal
     return (
-        F.when(~F.col("answerable"), F.when(F.col("refused"), "no_failure").otherwise("hallucination"))
+        F.when(~F.col("answerable"), F.when(refusal, "no_failure").otherwise("answer_hallucination"))
         .when((hit5 == 0) & good, "possible_qrels_gap")
         .when(hit5 == 0, "retrieval_miss")
-        .when(F.col("refused"), "over_refusal")
-        .when(F.col("hallucinated"), "hallucination")
+        .when(refusal, "over_refusal")
+        .when(F.col("hallucinated"), "answer_hallucination")
         .when((F.col("correctness") >= 3.5) & (F.col("faithfulness") >= 3), "no_failure")
         .when(apart, "wrong_date")
         .when(absent, "wrong_entity")

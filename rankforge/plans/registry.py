@@ -107,7 +107,7 @@ def hashed_tokens(spark, sf_dir):
 
 def _embedding_metrics(spark, sf_dir):
     items = _table(spark, sf_dir, "embeddings")
-    asked = items.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    asked = items.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     found = retrieval.array_search(items, "vec_id", "embedding", asked, 11).where("query_id <> vec_id").withColumnRenamed("vec_id", "doc_id")
     qrels = asked.select("query_id", "label").join(items.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("relevance"))
     return asked, metrics.retrieval_metrics(asked, found, qrels)
@@ -253,7 +253,7 @@ def _vector(k: int, name: str = "ve", chunks: bool = True, asked: str = "SELECT
       {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index)::INT AS rank FROM vo) WHERE rank <= {k})"""
 
 
-_METRICS = """a AS (SELECT vec_id AS query_id, embedding AS e, label FROM embeddings WHERE vec_id < 50),
+_METRICS = """a AS (SELECT vec_id AS query_id, embedding AS e, label FROM embeddings WHERE vec_id % 20 = 0),
   s AS (SELECT query_id, vec_id AS doc_id, i.label = a.label AS rel, round(round(list_dot_product(a.e::DOUBLE[], i.embedding::DOUBLE[]), 12), 6) AS score FROM a CROSS JOIN embeddings i),
   t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 11 AND query_id <> doc_id),
   p AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY r) AS pos FROM t),
@@ -270,14 +270,14 @@ _ANSWERS = f"""{_bm25(_CHUNKS, 5)},
   r AS (SELECT query_id, text AS question, list_filter(string_split(text, ' '), lambda w: length(w) > 3)[1:5] AS kw, query_id % 3 <> 0 AS answerable, context, top,
     CASE WHEN query_id % 7 = 0 THEN '{judging.REFUSAL}' ELSE substr(context, 1, 300) || ' [doc_' || top || ']' END AS answer FROM v JOIN benchmark ON item_id = query_id),
   w AS (SELECT *, lower(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS low, lower(trim(regexp_replace(context, '\\s+', ' ', 'g'))) AS ctx, list_transform(regexp_extract_all(answer, '[A-Za-z0-9_]+'), lambda t: lower(t)) AS said, list_distinct(list_transform(regexp_extract_all(CASE WHEN query_id % 4 = 1 THEN substr(context, 1, 300) ELSE question END, '[A-Za-z0-9_]+'), lambda t: lower(t))) AS ref FROM r),
-  u AS (SELECT *, low LIKE '%could not find the answer%' OR low LIKE '%not available%' AS refused, list_filter(said, lambda t: length(t) > 3 AND t NOT IN ('this', 'that', 'with', 'from')) AS content FROM w),
+  u AS (SELECT *, low LIKE '%could not find the answer%' OR low LIKE '%not available%' AS refused, list_filter(said, lambda t: length(t) > 3 AND t NOT IN ('could', 'provided', 'documents', 'answer')) AS content FROM w),
   j0 AS (SELECT *, least(5.0, 5 * greatest(len(list_filter(kw, lambda x: contains(low, lower(x)))) / greatest(1, len(kw)), len(list_intersect(ref, said)) / greatest(1, len(ref)))) AS c0, 5 * least(1.0, len(list_filter(content, lambda t: contains(ctx, t))) / greatest(1, len(content))) AS f0 FROM u),
   j1 AS (SELECT *, round(CASE WHEN NOT answerable THEN CASE WHEN refused THEN 5.0 ELSE 1.0 END WHEN refused THEN least(1.0, c0) ELSE c0 END::DOUBLE, 6) AS correctness, round(CASE WHEN NOT answerable THEN CASE WHEN refused THEN 5.0 ELSE 1.0 END WHEN refused THEN 4.0 ELSE f0 END::DOUBLE, 6) AS faithfulness,
     CASE WHEN NOT answerable THEN CASE WHEN refused THEN 5.0 ELSE 0.0 END WHEN refused THEN 0.0 ELSE 5.0 END::DOUBLE AS citation FROM j0),
   j AS (SELECT *, round((correctness * 3 + faithfulness + citation) / 5, 6) AS answer_score, CASE WHEN NOT answerable THEN refused ELSE faithfulness >= 3 END AS supported, CASE WHEN NOT answerable THEN NOT refused ELSE faithfulness < 2 AND NOT refused END AS hallucinated, query_id % 5 <> 0 AS hit5 FROM j1),
-  fl AS (SELECT *, CASE WHEN NOT answerable THEN CASE WHEN refused THEN 'no_failure' ELSE 'hallucination' END WHEN NOT hit5 AND answer_score >= 4 AND faithfulness >= 4 AND NOT refused THEN 'possible_qrels_gap' WHEN NOT hit5 THEN 'retrieval_miss' WHEN refused THEN 'over_refusal' WHEN hallucinated THEN 'hallucination'
+  fl AS (SELECT *, CASE WHEN NOT answerable THEN CASE WHEN refused THEN 'no_failure' ELSE 'answer_hallucination' END WHEN NOT hit5 AND answer_score >= 4 AND faithfulness >= 4 AND NOT refused THEN 'possible_qrels_gap' WHEN NOT hit5 THEN 'retrieval_miss' WHEN refused THEN 'over_refusal' WHEN hallucinated THEN 'answer_hallucination'
     WHEN correctness >= 3.5 AND faithfulness >= 3 THEN 'no_failure'
-    WHEN len(list_filter(kw, lambda x: regexp_matches(x, '(^| )[A-Z]'))) > 0 AND len(list_filter(kw, lambda x: regexp_matches(x, '(^| )[A-Z]') AND contains(lower(answer), lower(x)))) = 0 THEN 'wrong_entity'
+    WHEN len(list_filter(kw, lambda x: regexp_matches(x, '(^|\\s)\\p{{Lu}}'))) > 0 AND len(list_filter(kw, lambda x: regexp_matches(x, '(^|\\s)\\p{{Lu}}') AND contains(lower(answer), lower(x)))) = 0 THEN 'wrong_entity'
     WHEN correctness > 1.5 THEN 'partial_answer' ELSE 'insufficient_context' END AS failure_type FROM j)"""
 
 _STOP = ", ".join(f"'{w}'" for w in rerankers.STOP_WORDS)
@@ -316,7 +316,7 @@ ORACLE_SQL: dict[str, str] = {
     "query_planning": f"""WITH cl AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '^[ ?]+|[ ?]+$', '', 'g') AS c FROM conversations WHERE role = 'user'),
       pa AS (SELECT *, string_split(regexp_replace(c, '(?i)\\s+(?:vs\\.?|versus)\\s+', chr(1)), chr(1)) AS v, regexp_extract(c, '(?i)\\bcompare\\s+(.+?)\\s+\\band\\s+(.+?)(?:\\s+\\bby\\b|\\s+\\bfor\\b|$)', 1) AS g1, regexp_extract(c, '(?i)\\bcompare\\s+(.+?)\\s+\\band\\s+(.+?)(?:\\s+\\bby\\b|\\s+\\bfor\\b|$)', 2) AS g2,
         regexp_replace(regexp_extract(c, '(?i)\\b(?:by|for)\\s+(.+)$', 1), '^[ ?]+|[ ?]+$', '', 'g') AS b, string_split(regexp_replace(c, '(?i)\\s+\\band\\s+((?:{CLAUSE})\\b)', chr(1) || '\\1', 'g'), chr(1)) AS l, regexp_extract_all(c, '\\b[A-Z][A-Za-z0-9]*(?:[-\\s]+[A-Z][A-Za-z0-9]*)*\\b') AS p FROM cl),
-      al AS (SELECT conv_id, turn, list_concat([c], CASE WHEN len(v) = 2 THEN list_transform(v, lambda x: regexp_replace(x, '^[ ?]+|[ ?]+$', '', 'g')) ELSE [] END, CASE WHEN g1 <> '' THEN [trim(regexp_replace(g1, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b), trim(regexp_replace(g2, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b)] ELSE [] END,
+      al AS (SELECT conv_id, turn, list_concat([c], CASE WHEN regexp_matches(lower(c), ' (vs|versus) ') THEN list_transform(v, lambda x: regexp_replace(x, '^[ ?]+|[ ?]+$', '', 'g')) ELSE [] END, CASE WHEN g1 <> '' THEN [trim(regexp_replace(g1, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b), trim(regexp_replace(g2, '^[ ?]+|[ ?]+$', '', 'g') || ' ' || b)] ELSE [] END,
         CASE WHEN len(l) > 1 THEN list_transform(l, lambda x: regexp_replace(x, '^[ ?]+|[ ?]+$', '', 'g')) ELSE [] END, list_filter(p, lambda x: length(x) > 2 AND NOT regexp_matches(x, '(?i)^(?:{ASKING})\\b'))) AS every FROM pa)
       SELECT conv_id, turn, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i AND contains(x, ' '))[1:4], ' || ') AS variants FROM al""",
     "chunk_tokens": f"SELECT {_id('doc_id', 'k', 's', 'e', 't')} AS chunk_id, doc_id, k::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char, sha256(t) AS text_hash FROM ({_windows('documents', SIZE, OVERLAP)})",
@@ -340,7 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "retrieval_metrics": f"WITH {_METRICS} SELECT query_id, num_relevant_docs, num_retrieved_docs, k, recall, precision, hit, mrr, ndcg FROM m",
     "leaderboard": f"WITH {_METRICS} SELECT k, {_MEANS} FROM m GROUP BY k",
     "category_summary": f"WITH {_METRICS} SELECT label, k, {_MEANS} FROM m GROUP BY label, k",
-    "page_text": """SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title,
+    "page_text": """SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) END AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""",
     "token_costs": f"""WITH t AS (SELECT role, greatest(1, floor(len(regexp_extract_all(coalesce(text, ''), '\\S+')) * 1.3))::BIGINT AS n FROM conversations), s AS (SELECT role, count(*) AS n_turns, sum(n)::BIGINT AS tokens FROM t GROUP BY role)
       SELECT role, n_turns, tokens, round(CASE WHEN role = 'assistant' THEN tokens * {PRICES['gpt-4o-mini'][1]} / 1e6 ELSE tokens * {PRICES['gpt-4o-mini'][0]} / 1e6 END, 9)::DOUBLE AS cost_usd FROM s""",

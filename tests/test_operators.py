@@ -85,15 +85,56 @@ def test_judging_and_failures(spark):
     judged = judging.judge(spark.createDataFrame(rows, schema)).withColumn("hit5", F.lit(1))
     got = {r["query_id"]: r for r in judged.withColumn("f", judging.failure_type(F.col("hit5"))).collect()}
     assert got[1]["answer_score"] == 5 and got[1]["f"] == "no_failure"
-    assert got[2]["hallucinated"] and got[2]["f"] == "hallucination"
+    assert got[2]["hallucinated"] and got[2]["f"] == "answer_hallucination"
     assert got[3]["answer_score"] == 5 and got[3]["f"] == "no_failure"
-    assert got[4]["answer_score"] <= 1 and got[4]["f"] == "hallucination"
+    assert got[4]["answer_score"] <= 1 and got[4]["f"] == "answer_hallucination"
     assert got[5]["faithfulness"] == 4 and got[5]["f"] == "over_refusal"
     assert {r["f"] for r in got.values()} <= set(judging.LABELS)
     answer = spark.range(1).select(judging.extractive_answer(F.lit("where is Paris"), F.lit("No. Paris is here. Paris is where it is!")).alias("a")).first()["a"]
     assert answer.startswith("Paris is where")
 
 
+def test_judging_by_hand(spark):
+    schema = "query_id long, question string, answer string, context string, reference_answer string, expected_keywords array<string>, relevant_doc_ids array<string>"
+    rows = [
+        (1, "q", "this with that from alpha", "alpha text", "zeta", [], ["doc_1"]),  # five content words, of which one is supported: three letters or fewer and four words don't count
+        (2, "q", "alpha [doc_1 | ab]", "alpha", "alpha", [], ["doc_1"]),  # no closed citation
+        (3, "q", "alpha [doc_1] [doc_9]", "alpha", "alpha", [], ["doc_1"]),
+        (4, "q", "alpha [doc_9]", "alpha", "alpha", [], ["doc_1"]),
+        (5, "q", "could provided documents answer alpha", "alpha", "alpha", [], ["doc_1"]),
+        (6, "q", "alpha beta", "alpha beta", "zeta eta theta iota kappa lambda alpha", ["été", "Élan"], ["doc_1"]),
+        (7, "q", "in 2021 alpha", "in 2021 alpha", "in 2020 zeta eta theta iota", [], ["doc_1"]),
+    ]
+    judged = judging.judge(spark.createDataFrame(rows, schema))
+    got = {r["query_id"]: r for r in judged.withColumn("f", judging.failure_type(F.lit(1))).collect()}
+    assert got[1]["faithfulness"] == 1.0 and got[1]["f"] == "answer_hallucination"
+    assert [got[n]["citation"] for n in (2, 3, 4)] == [0.0, 5.0, 2.0]
+    assert got[5]["faithfulness"] == 5.0
+    assert got[6]["f"] == "wrong_entity" and got[7]["f"] == "wrong_date"
+
+
+def test_query_variants_by_hand(spark):
+    one = lambda q: spark.range(1).select(query_variants(F.lit(q)).alias("v")).first()["v"]
+    assert one("red bus vs. blue car") == ["red bus vs. blue car"]
+    assert one("red bus vs blue car?") == ["red bus vs blue car", "red bus", "blue car"]
+    assert one("Red bus Versus blue car") == ["Red bus Versus blue car", "Red bus", "blue car"]
+    assert one(None) == [] == one(" ? ")
+
+
+def test_a_long_text_is_cut_in_time_that_grows_with_it(spark):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        frame = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("word "), n).alias("text"))
+        chunking.chunk_tokens(frame, 450, 70).agg(F.max("end_char")).first()
+        began = time.time()
+        last = chunking.chunk_tokens(frame, 450, 70).orderBy(F.col("chunk_index").desc()).first()
+        took.append(time.time() - began)
+        assert last["end_char"] == 5 * n - 1 and last["start_char"] == 5 * 380 * last["chunk_index"]
+    assert took[1] < 10 * took[0] + 2
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert one(text.normalize(F.lit("  a  b\n"))) == "a b"
@@ -112,6 +153,9 @@ def test_sources(spark, tmp_path):
     (folder / "sub" / "my-page.HTML").write_text("<title> A  b </title><script>x</script><p>Hi <b>you</b></p>")
     (folder / "skip.pdf").write_text("no")
     got = {r["extension"]: r for r in documents.read_documents(spark, str(folder)).collect()}
+    (tmp_path / "3d-model_x.txt").write_text("# no heading here")
+    single = documents.read_documents(spark, f"file://{tmp_path}/3d-model_x.txt").first()
+    assert single["title"] == "3D Model X" and single["path"] == f"{tmp_path}/3d-model_x.txt"
     assert set(got) == {".md", ".html"} and got[".md"]["doc_id"] == "doc_1" and got[".md"]["title"] == "Title" and got[".md"]["text"] == "# Title\nbody"
     assert got[".html"]["title"] == "A b" and got[".html"]["text"] == "A b Hi you" and got[".html"]["doc_id"].startswith("doc_")
     with pytest.raises(FileNotFoundError):
@@ -119,7 +163,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text(json.dumps({"id": "q1", "question": "x", "relevant_doc_ids": ["a", "b"]}) + "\n\n")
     questions = documents.read_questions(spark, str(tmp_path / "q.jsonl"))
     assert questions.first()["category"] == "unknown"
-    assert documents.read_qrels(spark, None, questions).count() == 2
+    assert documents.read_qrels(spark, None, questions).count() == 2 == documents.read_qrels(spark, str(tmp_path / "none.jsonl"), questions).count()
+    (tmp_path / "bad.jsonl").write_text('{"id": "a"}\n\n{"id": \n')
+    with pytest.raises(ValueError, match="bad.jsonl at line 3"):
+        documents.read_questions(spark, str(tmp_path / "bad.jsonl"))
     (tmp_path / "r.jsonl").write_text("\n".join(json.dumps({"query_id": "q1", "doc_id": "a", "relevance": n}) for n in (1, 3)))
     assert [tuple(r) for r in documents.read_qrels(spark, str(tmp_path / "r.jsonl"), questions).collect()] == [("q1", "a", 3)]
 
