@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from rankforge.llm import components, line_spread, sentence_spans, simhash_pivots
+from rankforge.llm import components, line_spread, sentence_spans, simhash_copies, simhash_pivots
 
 
 def brute_fingerprint(text):
@@ -64,15 +64,18 @@ def test_simhash_hot_buckets_and_wide_links(spark):
             prints.add(centre)
     prints = sorted(prints)
     expected = brute_components(prints)
-    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "__fp long")
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "__node long")
+    table = simhash_pivots.pivot_table(df)
     for chunk in (8192, 3):
-        links = simhash_pivots.fingerprint_links(df, len(prints), chunk=chunk)
+        tally = [spark.sparkContext.accumulator(0) for _ in range(3)]
+        links = simhash_pivots.fingerprint_links(table, simhash_pivots.block_masks(4, simhash_pivots.shared_blocks(len(prints), 4)), chunk=chunk, tally=tally)
         found = {r["node"]: r["root"] for r in components.components(links).collect()}
         signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
         groups = {}
         for s, e in zip(signed, expected, strict=True):
             groups.setdefault(e, set()).add(found.get(s, s))
         assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+        assert tally[0].value > tally[1].value > 0 < tally[2].value <= tally[0].value - tally[1].value
 
 
 def test_pivots_discard_only_far_pairs():
@@ -86,6 +89,21 @@ def test_pivots_discard_only_far_pairs():
     assert simhash_pivots.shared_blocks(10**6, 4) < simhash_pivots.shared_blocks(10**9, 4)
 
 
+def test_one_of_each_loses_no_text(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(30))
+    rows = [(None, words("a"), 1), (None, words("b"), 1), (None, words("c"), 2), (5, words("d"), 1), (5, words("e"), 1), (5, words("e"), 1), (5, words("e"), 0), (7, words("d"), 1), (None, words("d"), 1), (9, None, 1), (8, "", 1)]
+    df = spark.createDataFrame(rows, "`doc_id` long, text string, `__th` long")
+    for n in (1, 5, 50):
+        for first in (simhash_pivots.first_of_each, simhash_copies.first_of_each):
+            kept = first(df.repartition(n))
+            assert kept.columns == df.columns
+            got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+            assert got == sorted([(-1, words("a")), (-1, words("b")), (-1, words("c")), (5, words("d")), (5, words("e")), (8, "")])
+    assert simhash_pivots.first_of_each(df.limit(0)).count() == 0
+    marks = {(r["doc_id"], r["component_id"]) for r in simhash_pivots.near_duplicates(df).collect()}
+    assert marks == {(None, None), (5, 5), (7, 5), (None, 5), (9, 8), (8, 8)}
+
+
 def test_path_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -254,11 +254,10 @@ def test_pipeline(spark, sf_dir):
         if name == "line_dedup":
             assert ids == set(old)
         if name == "near_dedup":
-            from test_dedup import brute_components, brute_fingerprint
+            from test_copies import brute_groups
 
             order = sorted(old)
-            roots = brute_components([brute_fingerprint(old[i]["text"]) for i in order])
-            assert ids == {order[r] for r in roots}
+            assert ids == {order[r] for r in brute_groups([old[i]["text"] for i in order])}
         if name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in shared.table(spark, sf_dir, "benchmark").collect()]
             assert ids == {h[0] for h in brute_hits([(i, r["text"]) for i, r in old.items()], items, 10) if not h[5]}
