@@ -2,10 +2,12 @@
 
 The frequent words of the corpus are compiled, with their token ids as outputs, into a shared-suffix automaton (a
 minimal acyclic transducer that numbers its words; the number leads to the ids). The file is shipped to every
-executor with ``addFile`` and memory-mapped there. Words that the automaton does not hold are merged exactly by rank.
+executor with ``addFile`` and memory-mapped there. Words that the automaton does not hold are merged exactly by rank. Texts are
+parted into words by our own expression where they hold characters of ``PLAIN`` alone, on whose classes all Unicode versions agree, else
+by the tokenizers library's own steps (it follows another Unicode version than ours).
 
 Defined cases: a null text counts as the empty text (no ids, empty decoded text); repeated rows and repeated or null
-identifiers are kept, a row each; an empty table gives an empty frame; further columns are ignored.
+identifiers are kept, a row each; an empty table gives an empty frame; further columns are ignored. Texts are encoded whole, however long.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import json
 import mmap
 import os
 import struct
-import tempfile
 import unicodedata
 import uuid
 from functools import lru_cache
@@ -27,11 +28,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import SLICE, ChunkCoder, frequent_chunks, lower_chunks, slices
+from rankforge.llm.shared import SLICE, ChunkCoder, frequent_chunks, lower_chunks, new_folder, put_file, slices, worker_threads_off
 
 #: Unicode White_Space.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: ASCII, Latin, Greek, Cyrillic, general punctuation, kana, Chinese and Korean characters of the first Unicode versions.
+PLAIN = regex.compile("[\x00-\u0377\u0384-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u2052\u20a0-\u20af\u2190-\u21ff\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 #: Words in the lexicon, and chunks and words that a worker remembers: bounds of memory, not of results.
 LEXICON_WORDS, REMEMBERED = 50_000, 1_200_000
 MAGIC = b"RFLEX01\n"
@@ -63,6 +66,12 @@ class WordBpe:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.names[i] = t
         self.digits = [str(i) for i in range(len(self.names))]
+        worker_threads_off()
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self._normalized, self._parted = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self._bytes = {c: b for b, c in self.alphabet.items()}
         self._special = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
 
     def merged(self, word: str) -> list[int]:
@@ -98,6 +107,8 @@ class WordBpe:
         return out + self.words(chunk[at:])
 
     def words(self, text: str) -> list[str]:
+        if not PLAIN.fullmatch(text):
+            return [bytes([self._bytes[c] for c in piece]).decode("utf-8") for piece, _ in self._parted(self._normalized(text))]
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         return WORDS.findall(text)
@@ -264,12 +275,11 @@ def worker_encoder(tokenizer: str, lexicon: str | None) -> Encoder:
 
 
 def ship(df: DataFrame, data: bytes) -> str:
-    """Send a compiled lexicon to all executors, present and later; returns its name for ``SparkFiles.get``."""
-    name = f"lexicon-{uuid.uuid4().hex}.rflex"
-    folder = tempfile.mkdtemp(prefix="rankforge-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(data)
-    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    """Put a compiled lexicon into the shared folder, from where all executors, present and later, fetch it; returns its name for
+    ``SparkFiles.get``."""
+    name, folder = f"lexicon-{uuid.uuid4().hex}.rflex", new_folder(df.sparkSession, "lexicon")
+    put_file(folder, name, [data])
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 

@@ -3,9 +3,12 @@
 The index is sharded by documents: a shard of at most about ``SHARD_WORDS`` positions (a longer text is a shard of its own)
 holds, for every term, its sorted positions, and a table of its documents; it is stored as Parquet rows ``(shard, term,
 postings)``. Test terms select rows by a join, and a shard's rows meet in one bounded group, where each window's lists, moved by
-their offsets, are intersected from the rarest on. Exact phrases come out, or with ``slop`` proximity matches.
+their offsets, are intersected from the rarest on. Exact phrases come out, or with ``slop`` proximity matches: a window matches where
+each of its terms has a position in one document such that the positions, each less its term's place in the window, lie within ``slop`` of each
+other. That names no term first, so it doesn't depend on how documents are dealt to shards.
 
-Test items are read to the driver in blocks of ``BLOCK_ITEMS`` items, each run against the whole index.
+The test items are the stated query set: they come to the driver in blocks of about ``BLOCK_WORDS`` words, each run against the
+whole index; with several blocks each one's matches are written before the next.
 
 Defined cases: a null text has no words; items without words give no window; an item of fewer words than a window is one
 window; items that repeat an identifier add to the same one; a null item identifier counts as the text ``null``; rows that
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rankforge.llm.shared import slices, written
 
-WINDOW, SHARD_WORDS, BLOCK_ITEMS = 10, 1_000_000, 5_000
+WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_000_000, 300_000
 #: Lower-cases A-Z and turns every ASCII character that is no letter or digit into a blank.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -36,9 +39,10 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(TABLE).split()
 
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, gap: int = 1) -> DataFrame:
     """The stored index: ``shard, term, postings``. A row without term holds the shard's documents: identifiers as
-    Arrow, and their numbers of words. Positions run on through a shard with a gap of one between documents."""
+    Arrow, and their numbers of words. Positions run on through a shard with a ``gap`` between documents: at least a window's words and
+    the slop, if proximity is to be asked."""
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
@@ -47,7 +51,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         def shard(ids, kind, words, sizes):
             vocabulary: dict[bytes, int] = {}
             codes = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in words for w in ws), "i4", sum(sizes))
-            positions = np.arange(len(codes), dtype="i4") + np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
+            positions = np.arange(len(codes), dtype="i4") + gap * np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
             order = np.argsort(codes, kind="stable")
             ends = np.cumsum(np.bincount(codes, minlength=len(vocabulary))) if vocabulary else np.array([], "i8")
             placed = positions[order].tobytes()
@@ -78,7 +82,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     ids.append(identifier)
                     words.append(found)
                     sizes.append(len(found))
-                    total += len(found) + 1
+                    total += len(found) + gap
         if ids:
             yield from shard(ids, kind, words, sizes)
 
@@ -95,9 +99,8 @@ def windows_of(items: list[tuple], window: int) -> dict[tuple[bytes, ...], set[s
     return dict(found)
 
 
-def phrase_places(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Positions where the window starts: the offset-adjusted lists of its terms, intersected from the rarest on. With
-    ``slop`` a term may stand that many positions off its place."""
+def phrase_places(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray]) -> np.ndarray:
+    """Positions where the window starts: the offset-adjusted lists of its terms, intersected from the rarest on."""
     places = None
     for offset in sorted(range(len(window)), key=lambda i: len(lists.get(window[i], ()))):
         postings = lists.get(window[offset])
@@ -105,20 +108,40 @@ def phrase_places(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slo
             return np.array([], "i8")
         if places is None:
             places = postings.astype("i8") - offset
-            places = places[places >= 0] if not slop else places
+            places = places[places >= 0]
             continue
-        wanted = places + offset - slop
+        wanted = places + offset
         at = np.searchsorted(postings, wanted)
         inside = at < len(postings)
         ok = np.zeros(len(places), bool)
-        ok[inside] = postings[at[inside]] <= wanted[inside] + 2 * slop
+        ok[inside] = postings[at[inside]] == wanted[inside]
         places = places[ok]
         if not len(places):
             break
     return places
 
 
-def match_block(index: DataFrame, windows: dict[tuple[bytes, ...], set[str]], kind: str, id_col: str, slop: int = 0) -> DataFrame:
+def near_places(window: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of the proximity matches: for every adjusted position that is the least of a match, each term's
+    nearest one from there on."""
+    adjusted = [lists[t].astype("i8") - i for i, t in enumerate(window)] if all(t in lists for t in window) else []
+    if not adjusted:
+        return np.array([], "i8"), np.array([], "i8")
+    starts = np.unique(np.concatenate(adjusted))
+    found = []
+    for a in sorted(adjusted, key=len):  # the rarest term leaves the fewest starts
+        at = np.searchsorted(a, starts)
+        ok = at < len(a)
+        ok[ok] = a[at[ok]] <= starts[ok] + slop
+        starts = starts[ok]
+        if not len(starts):
+            return starts, starts
+    for i, a in enumerate(adjusted):
+        found.append(a[np.searchsorted(a, starts)] + i)
+    return np.min(found, axis=0), np.max(found, axis=0)
+
+
+def match_block(index: DataFrame, windows: dict[tuple[bytes, ...], set[str]], kind: str, id_col: str, slop: int = 0, gap: int = 1) -> DataFrame:
     """Each document of the index with ``n_words``, the spans that windows cover and the items that match."""
     spark = index.sparkSession
     wanted = sorted({t for w in windows for t in w})
@@ -132,7 +155,7 @@ def match_block(index: DataFrame, windows: dict[tuple[bytes, ...], set[str]], ki
         documents = frame.loc[frame["term"].isna(), "postings"].iloc[0]
         table = pa.ipc.open_stream(bytes(documents)).read_all()
         sizes = table.column("n").to_numpy()
-        start = np.cumsum(sizes + 1) - sizes - 1
+        start = np.cumsum(sizes + gap) - sizes - gap
         rest = frame[~frame["term"].isna()]
         lists = {bytes(t): np.frombuffer(p, "<i4") for t, p in zip(rest["term"], rest["postings"], strict=True)}
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -140,14 +163,17 @@ def match_block(index: DataFrame, windows: dict[tuple[bytes, ...], set[str]], ki
         for window, names in listed.value:
             if not all(t in lists for t in window):
                 continue
-            places = phrase_places(window, lists, slop)
-            if not len(places):
+            if slop:
+                first, last = near_places(window, lists, slop)
+            else:
+                first = phrase_places(window, lists)
+                last = first + len(window) - 1
+            if not len(first):
                 continue
-            first = np.maximum(places - slop, 0)
-            doc = np.searchsorted(start, places, "right") - 1 if not slop else np.searchsorted(start, np.maximum(places, 0), "right") - 1
-            inside = places + len(window) <= start[doc] + sizes[doc] if not slop else np.ones(len(places), bool)
-            for d, a, b in zip(doc[inside].tolist(), first[inside].tolist(), (places + len(window) + slop)[inside].tolist(), strict=True):
-                spans[d].append((max(0, a - int(start[d])), min(int(sizes[d]), b - int(start[d]))))
+            doc = np.searchsorted(start, first, "right") - 1
+            inside = last < start[doc] + sizes[doc]
+            for d, a, b in zip(doc[inside].tolist(), first[inside].tolist(), last[inside].tolist(), strict=True):
+                spans[d].append((a - int(start[d]), b + 1 - int(start[d])))
                 items[d] |= names
         merged = [_merged(spans[d]) if d in spans else [] for d in range(len(sizes))]
         n = len(sizes)
@@ -169,22 +195,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"a": a, "b": b} for a, b in out]
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """A row for every row: ``id_col, n_words, hit`` (word spans from, up to), ``items`` (sorted texts of identifiers)."""
-    index = build_index(df, id_col, text_col)
+    gap = 1 if not slop else window + slop + 1
+    index = build_index(df, id_col, text_col, shard_words, gap)
     kind = dict(df.dtypes)[id_col]
-    blocks, block = [], []
+    paths, block, words = [], [], 0
+
+    def matched():
+        return match_block(index, windows_of(block, window), kind, id_col, slop, gap)
+
     for row in benchmark.select(F.col(item_col), F.col(item_text).cast("string")).toLocalIterator():
+        own = len(terms(row[1]))
+        if block and words + own > block_words:
+            paths.append(written(matched(), "matches"))
+            block, words = [], 0
         block.append((row[0], row[1]))
-        if len(block) == block_items:
-            blocks.append(match_block(index, windows_of(block, window), kind, id_col, slop))
-            block = []
-    if block or not blocks:
-        blocks.append(match_block(index, windows_of(block, window), kind, id_col, slop))
-    if len(blocks) == 1:
-        return blocks[0].select(id_col, "n_words", "hit", "items")
-    found = blocks[0]
-    for more in blocks[1:]:
+        words += own
+    if not paths:
+        return matched().select(id_col, "n_words", "hit", "items")
+    found = written(matched(), "matches")
+    for more in paths:
         found = found.unionByName(more)
     # a document's place in the index names it; a row a block meets here
     found = found.groupBy("shard", "place").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.cutting import KEY, cut_positions, keyed, with_cuts
-from rankforge.llm.shared import slices
+from rankforge.llm.shared import slices, written
 
 WORDS_OF_TWO, WORDS_OF_THREE = 25, 15
+#: Places from which a run is dealt out to ``SALTS`` tasks, and runs up to which these are broadcast (17 bytes each).
+HOT, SALTS, FEW_HOT = 2_000, 64, 100_000
 #: Ends behind a closing sign with white space after it, or behind a line feed, where something follows.
 BOUNDARY = re.compile(r"[.!?][ \t\r\n]{1,8}(?=[^ \t\r\n])|\n(?=[^ \t\r\n])")
 #: Odd multipliers that mix the sentences' hashes into a run's (64-bit golden ratio and its like).
@@ -99,9 +101,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs_of(df, id_col, text_col, two, three)
     place = F.struct(*KEY, "__from", "__to")
     # a run may occur many times in one document, or in rows that repeat: equal places are one occurrence
-    groups = runs.groupBy("__h", "__g").agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-    repeated = groups.where(F.col("__first") != F.col("__last")).select("__h", "__g", "__first")
-    again = runs.join(repeated, ["__h", "__g"]).where(place != F.col("__first"))
+    groups = runs.groupBy("__h", "__g").agg(F.min(place).alias("__first"), F.max(place).alias("__last"), F.count("*").alias("__n"))
+    repeated = written(groups.where(F.col("__first") != F.col("__last")).select("__h", "__g", "__first", "__n"), "repeated-runs")
+    hot = repeated.where(F.col("__n") > HOT).select("__h", "__g", F.lit(True).alias("__hot"))
+    if n_hot := hot.count():  # a very common run's places go to many tasks
+        runs = runs.join(F.broadcast(hot) if n_hot <= FEW_HOT else hot, ["__h", "__g"], "left")
+        runs = runs.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*KEY, "__from"), F.lit(SALTS))).otherwise(0)).drop("__hot")
+    else:
+        runs = runs.withColumn("__salt", F.lit(0).cast("long"))
+    salts = F.when(F.col("__n") > HOT, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = repeated.select("__h", "__g", "__first", F.explode(salts).alias("__salt"))
+    again = runs.join(repeated, ["__h", "__g", "__salt"]).where(place != F.col("__first"))
     cuts = cut_positions(again.select(*KEY, "__from", "__to"))
     joined = with_cuts(df, cuts, id_col, text_col)
     names = list(df.columns)

@@ -11,20 +11,23 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (local tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-#: Rows turned into Python objects at once.
-SLICE = 64
+#: Rows turned into Python objects at once; summaries that one task merges.
+SLICE, FAN = 64, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = LOCAL_CHECKPOINTS
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -160,6 +163,16 @@ class ChunkCoder:
 # -- frequent chunks: bounded summaries, merged without moving the chunks themselves ------------------------------
 
 
+def merged_by_tree(parts: DataFrame, merge: Callable, fan: int = FAN) -> DataFrame:
+    """Summaries, one a partition with its number as ``p``, merged by ``merge(frame) -> frame`` in groups of at most ``fan``, and these
+    again, until one is left: no task reads more than ``fan`` summaries, however many partitions there are."""
+    n, kinds = parts.rdd.getNumPartitions(), ", ".join(f"{c} {t}" for c, t in parts.dtypes)
+    while n > 1:
+        parts = parts.withColumn("p", F.floor(F.col("p") / fan).cast("long")).groupBy("p").applyInPandas(merge, kinds)
+        n = -(-n // fan)
+    return parts
+
+
 def _pruned(counts: Counter, capacity: int) -> Counter:
     return Counter(dict(counts.most_common(capacity))) if len(counts) > capacity else counts
 
@@ -177,9 +190,8 @@ def frequent_chunks(df: DataFrame, text_col: str, split: Callable[[str], list[st
     """The about ``capacity`` most frequent chunks of all texts, with lower bounds of their counts.
 
     Every row is read. A partition keeps a summary of at most ``8 * capacity`` counters (pruned to ``capacity`` when
-    full) and sends ``capacity`` of them; groups of some tens of summaries are merged on executors, and the driver
-    merges one summary a group, one at a time. Chunks hold no blanks. Used for caches, never for results. Nulls and
-    empty tables give no chunks.
+    full) and sends ``capacity`` of them; summaries are merged on executors by :func:`merged_by_tree`, and the driver is sent one. Chunks
+    hold no blanks. Used for caches, never for results. Nulls and empty tables give no chunks.
     """
 
     def summarise(batches):
@@ -193,7 +205,7 @@ def frequent_chunks(df: DataFrame, text_col: str, split: Callable[[str], list[st
                     counts = _pruned(counts, capacity)
         counts.pop("", None)
         keys, values = _packed(_pruned(counts, capacity))
-        yield pa.RecordBatch.from_arrays([pa.array([keys]), pa.array([values], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([keys]), pa.array([values], pa.binary())], names=["p", "k", "v"])
 
     def merge(frame):
         import pandas as pd
@@ -202,14 +214,11 @@ def frequent_chunks(df: DataFrame, text_col: str, split: Callable[[str], list[st
         for k, v in zip(frame["k"], frame["v"], strict=True):
             total.update(_unpacked(k, v))
             total = _pruned(total, 4 * capacity)
-        return pd.DataFrame([_packed(_pruned(total, capacity))], columns=["k", "v"])
+        return pd.DataFrame([(frame["p"].iloc[0], *_packed(_pruned(total, capacity)))], columns=["p", "k", "v"])
 
-    parts = df.select(F.col(text_col)).mapInArrow(summarise, "k string, v binary")
-    grouped = parts.groupBy(F.pmod(F.xxhash64("k"), F.lit(24)).alias("g")).applyInPandas(merge, "k string, v binary")
     total: Counter = Counter()
-    for row in grouped.toLocalIterator():
+    for row in merged_by_tree(df.select(F.col(text_col)).mapInArrow(summarise, "p long, k string, v binary"), merge).collect():  # one row at most
         total.update(_unpacked(row["k"], bytes(row["v"])))
-        total = _pruned(total, 4 * capacity)
     return sorted(_pruned(total, capacity).items(), key=lambda x: (-x[1], x[0]))
 
 

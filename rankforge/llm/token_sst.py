@@ -12,8 +12,8 @@ restart points; ``scan`` goes through all blocks in order.
 
 Keys are a 0 byte for a null identifier, else a 1 byte and the identifier (integers: 8 bytes, big-endian, sign bit
 flipped), so bytes sort as identifiers do, nulls first. Defined cases: a null or empty text has only the end id;
-repeated identifiers are all kept, in order of their ids' bytes; an empty table makes no shard and an empty result;
-further columns are ignored.
+repeated identifiers are all kept, in order of their texts (null first); an empty table makes no shard and an empty result;
+further columns are ignored. Texts are encoded whole, however long; a document is one entry of one block.
 """
 
 from __future__ import annotations
@@ -110,10 +110,11 @@ def table_parts(rows: Iterator[tuple[bytes, bytes]], width: int) -> Iterator[byt
         yield data
     listed = b"".join(_varint(len(k)) + k + _varint(a) + _varint(size) for k, a, size in index)
     bits = max(64, BLOOM_BITS * len(hashes))
-    bloom = np.zeros((bits + 7) // 8 * 8, "u1")
+    bloom = bytearray((bits + 7) // 8)
     for key in hashes:
-        bloom[bloom_positions(key, bits)] = 1
-    filtered = np.packbits(bloom, bitorder="little").tobytes()
+        for p in bloom_positions(key, bits):
+            bloom[p >> 3] |= 1 << (p & 7)
+    filtered = bytes(bloom)
     yield listed
     yield filtered
     yield FOOTER.pack(at, len(listed), at + len(listed), bits, len(hashes), width, zlib.crc32(listed + filtered), MAGIC)
@@ -198,6 +199,9 @@ def library_coder(tokenizer: str) -> ChunkCoder:
         tok = Tokenizer.from_file(tokenizer)
         tok.no_truncation()
         tok.no_padding()
+        ids = lambda *texts: [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
+        if ids("Ab, cD\nEf.") != ids("ab", ",", "cd", "ef", "."):
+            raise ValueError("this vocabulary does not lower-case and cut at blanks and signs")
         _CODERS.clear()
         _CODERS[tokenizer] = ChunkCoder(lambda chunks: [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)], tok.get_vocab_size(with_added_tokens=True), REMEMBERED)
     return _CODERS[tokenizer]

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -38,19 +39,29 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(identifier) -> str:
+    """An identifier as a name on one line; texts are percent-coded, so that none looks like the null identifier's."""
+    return "<urn:page:null>" if identifier is None else f"<urn:page:{identifier}>" if isinstance(identifier, int) else f"<urn:page:s:{quote(identifier)}>"
+
+
+def identifier_of(name: str | None):
+    inner = None if name is None else name[10:-1]
+    return None if inner in (None, "null") else unquote(inner[2:]) if inner.startswith("s:") else int(inner)
+
+
 def record(identifier, address: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
     """One WARC/1.1 record. ``X-Payload-Length`` keeps a revisit's payload length."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'null' if identifier is None else identifier}>",
+        f"WARC-Record-ID: {urn(identifier)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((address or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = b"" if revisit else payload
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -162,11 +173,6 @@ def read_archives(manifest: DataFrame, folder: str, kind: str = "bigint", id_col
     files = manifest.select("file").repartition(max(1, manifest.count()), "file")
     whole = kind != "string"
 
-    def name(urn: str | None):
-        if urn is None or urn == "<urn:page:null>":
-            return None
-        return int(urn[10:-1]) if whole else urn[10:-1]
-
     def run(batches):
         store, path = filesystem(folder)
         for batch in batches:
@@ -179,7 +185,7 @@ def read_archives(manifest: DataFrame, folder: str, kind: str = "bigint", id_col
                         revisit = head["WARC-Type"] == "revisit"
                         if not revisit and (digest_of(body) != said or len(body) != int(head["X-Payload-Length"])):
                             raise ValueError("payload differs from its digest")
-                        out.append((name(head["WARC-Record-ID"]), int(head["X-Payload-Length"]), said, head["WARC-Type"], name(head.get("WARC-Refers-To")), body.decode() if with_payload and not revisit else None))
+                        out.append((identifier_of(head["WARC-Record-ID"]), int(head["X-Payload-Length"]), said, head["WARC-Type"], identifier_of(head.get("WARC-Refers-To")), body.decode() if with_payload and not revisit else None))
                         size += len(body) if with_payload else 0
                         if len(out) >= 4096 or size > FLUSH:
                             yield packed(out)

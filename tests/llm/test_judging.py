@@ -222,8 +222,8 @@ def test_index_against_brute_force(spark):
     docs += [(i, text(5) + " " + rng.choice(items)[1] + ". " + text(5)) for i in range(120, 150) if items[i % 30][1]] if all(t for _, t in items[:30]) else []
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_words int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for window, shard, block in ((4, 1_000_000, 5000), (5, 200, 7)):
-        index = positional_index.report(df, bench, window=window, block_items=block)
+    for window, shard, block in ((4, 1_000_000, 300_000), (5, 200, 150)):
+        index = positional_index.report(df, bench, window=window, block_words=block, shard_words=shard)
         got = sorted(tuple(r) for r in index.collect())
         assert got == sorted(brute_hits(docs, items, window))
         shards = positional_index.build_index(df, shard_words=shard)
@@ -232,10 +232,30 @@ def test_index_against_brute_force(spark):
     assert {r["contaminated"] for r in positional_index.report(df, bench.limit(0)).collect()} == {False}
 
 
-def test_proximity():
-    lists = {b"a": np.array([0, 10, 20], "i4"), b"b": np.array([1, 13, 30], "i4")}
-    assert positional_index.phrase_places((b"a", b"b"), lists).tolist() == [0]
-    assert positional_index.phrase_places((b"a", b"b"), lists, slop=2).tolist() == [0, 10]
+def brute_near(words, window, slop):
+    """Words inside proximity matches of a window, over all choices of positions."""
+    places = [[p - i for p, w in enumerate(words) if w == t] for i, t in enumerate(window)]
+    covered = set()
+    for start in {a for c in places for a in c}:
+        nearest = [min((a for a in c if a >= start), default=None) for c in places]
+        if None not in nearest and max(nearest) <= start + slop:
+            own = [a + i for i, a in enumerate(nearest)]
+            covered |= set(range(min(own), max(own) + 1))
+    return covered
+
+
+def test_proximity(spark):
+    rng = random.Random(3)
+    docs = [(1, "alpha beta"), (2, "gamma delta x"), (3, "a c b")] + [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 40)))) for i in range(4, 60)]
+    items = [(1, "beta gamma"), (2, "a b c"), (3, "f e d c"), (4, "a a b")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 3):
+        expected = {d: set().union(*(brute_near(t.split(), i.split(), slop) for _, i in items)) for d, t in docs}
+        for shard, block in ((10**6, 10**6), (60, 5)):
+            found = positional_index.contamination(df, bench, slop=slop, shard_words=shard, block_words=block)
+            got = {r["doc_id"]: {w for s in r["hit"] for w in range(s["a"], s["b"])} for r in found.collect()}
+            assert got == expected
+    assert not expected[1] and not expected[2] and expected[3]
 
 
 def test_pipeline(spark, sf_dir):

@@ -119,3 +119,44 @@ def test_empty_tables(spark):
     assert bpe_lexicon.encode_documents(empty, WORD).count() == 0
     assert token_sst.token_tables(empty, WORD).count() == 0
     assert token_counts.count_tokens(empty, PIECE).count() == 0
+
+
+def test_every_code_point_as_the_library(spark):
+    import unicodedata
+
+    tok, encoder = Tokenizer.from_file(WORD), bpe_lexicon.Encoder(WORD, None)
+    points = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cs", "Co", "Cn") or 0x500 < ord(c) < 0x600]
+    rng = random.Random(5)
+    texts = [f"Ab{c}c{c} {c}x" for c in points]
+    texts += ["".join(rng.choice(points) if rng.random() < 0.6 else rng.choice("aA'sx 1.é\n<|Σς") for _ in range(rng.randint(1, 12))) for _ in range(30_000)]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        for text, ours, theirs in zip(some, encoder.encode(some), tok.encode_batch(some, add_special_tokens=False), strict=True):
+            assert ours.tolist() == theirs.ids, repr(text)
+
+
+def test_repeated_rows_and_null_identifiers(spark):
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (3, "a b"), (3, "a b"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tok, sp = Tokenizer.from_file(WORD), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    expected = lambda n: sorted(((i, n(t or "")) for i, t in rows), key=key)
+    words = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in bpe_lexicon.encode_documents(df, WORD).collect()), key=key) == expected(words)
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(df, PIECE).collect()), key=key) == expected(lambda t: len(sp.encode(t)))
+    tables = token_sst.token_tables(df, WORD).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in tables), key=key) == expected(lambda t: words(t) + 1)
+    placed = [words(t or "") + 1 for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))]
+    assert sorted(r["start"] for r in tables) == np.cumsum([0, *placed])[:-1].tolist()
+
+
+def test_summaries_are_merged_whatever_their_number(spark):
+    from rankforge.llm import shared
+
+    texts = [" ".join(["often"] * 5 + [f"word{i}"] * 3 + ["rare" + str(i % 7)]) for i in range(90)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(80)
+    counts = dict(shared.frequent_chunks(df, "text", str.split, 1000))
+    assert counts["often"] == 450 and counts["word5"] == 3 and counts["rare0"] == 13
+    table = np.frombuffer(token_counts.frequent_lengths(df, "text", PIECE, 1000), token_counts.LENGTH)
+    counter = token_counts.PieceCounter(PIECE, table.tobytes())
+    assert len(table) >= 91 and counter.looked_up(["often", "word3", "new one"]) == counter.encoded(["often", "word3", "new one"])
