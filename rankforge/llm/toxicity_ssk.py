@@ -1,21 +1,24 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 Two words are as alike as they share subsequences of three letters, each weighted by a decay for every
-position that it spans (spans up to ``SPAN`` letters), so letters put between or behind those of an insult weaken the
-match but don't end it; runs of single letters are joined before. A sentence is a set of words (one of over ``MOST_WORDS`` comes in pieces); its kernel with a landmark is the
-sum over its words of the word kernel to the power ``POWER`` (positive semi-definite as products and sums of kernels are). The Nyström map sends a sentence to
+position that it spans (spans up to ``SPAN`` letters), the lesser weight counting (the intersection of both words' weights, a positive
+semi-definite kernel), so letters put between or behind those of an insult weaken the
+match but don't end it; runs of single letters are joined before. A sentence is a set of words (one of
+over ``MOST_WORDS`` comes in pieces, so that a long text without sentence ends is no single sentence); its kernel with a landmark is the sum over its words of the
+word kernel to the power ``POWER``: symmetric and positive semi-definite, as products and sums of kernels are. The Nyström map sends a sentence to
 ``K_mm^-1/2 k(sentence, landmarks)``, where a squared-hinge support vector machine is trained on labelled sentences: all
 of clean documents against, from each toxic document, the sentence that is most toxic by the present machine (first:
 those that hold a landmark of the toxic class). As the machine is linear there, a word has one value, which workers remember;
 a text's margin is that of its worst sentence, and a logistic curve fitted on documents held back turns it into a score.
 
-Landmarks are strings that cover the toxic documents of the sample (beginnings of words, rare in clean documents), and clean words:
+Landmarks are strings that cover the toxic documents of the sample several times (beginnings of words, rare in clean documents), and clean words:
 those nearest to them and the most frequent. The sample is at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, the first by
 hash of their identifier; whole texts are learned from, calibrated on and scored.
 
 Defined cases: a null or empty text has no sentence and the margin of an empty one; without labels of both classes
 every score is 0; labels that repeat or contradict count as toxic if one says so; repeated rows are kept; an empty table gives an empty frame;
-further columns are ignored (labels, language, source and identifiers are no inputs).
+further columns are ignored by :func:`report` (labels, language, source and identifiers are no inputs) and passed on by :func:`score`, which adds ``__score`` and
+``__predicted``: these two names must be free. Words and texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from rankforge.llm.shared import forget, slices
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
-LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 40, 24, 0.8, 7, 3, 0.3
-REMEMBERED, LONGEST, MOST_WORDS = 600_000, 40, 40
+LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 56, 24, 0.85, 7, 3, 0.3
+REMEMBERED, MOST_WORDS, CELLS = 600_000, 40, 200_000
+#: What a missed toxic document weighs against a clean one that is marked.
+MISSED = 1.6
 #: Digits and signs that stand for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 EDGES = "\"'()[]{}.,;:!?|*#%&-_<>"
@@ -61,7 +66,7 @@ CODES = _table()
 
 def coded(words: list[str]) -> np.ndarray:
     """Words as rows of letter codes (signs left out, 0 from the end on) after the code of a word's start, so that
-    beginnings weigh more. Characters from U+0250 on are letters, but for general punctuation. Very long words come in :func:`pieces`."""
+    beginnings weigh more. Characters from U+0250 on are letters, but for general punctuation."""
     length = np.fromiter(map(len, words), "i8", len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
     codes = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], np.where((points >= 0x2000) & (points < 0x2070), 0, 27 + points % 36))
@@ -74,12 +79,6 @@ def coded(words: list[str]) -> np.ndarray:
     return out
 
 
-def pieces(word: str) -> list[str]:
-    """A very long word in overlapping pieces, so that no subsequence of the allowed span is lost."""
-    step = LONGEST - SPAN
-    return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - SPAN), step)] if len(word) > LONGEST else [word]
-
-
 def triples(words: list[str]) -> list[dict[int, float]]:
     """Each word's weighted subsequences of three letters."""
     codes, out = coded(words), [defaultdict(float) for _ in words]
@@ -106,27 +105,41 @@ class Landmarks:
         self.weights = np.zeros((len(keys) + 1, len(words)), "f4")
         for n, r in enumerate(rows):
             self.weights[self.row[list(r)], n] = list(r.values())
-        self.own = np.sqrt(np.maximum(1e-9, (self.weights**2).sum(axis=0)))
+        self.own = np.maximum(1e-9, self.weights.sum(axis=0))
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """The word kernel over the landmark's own (at most 1: a word that repeats a landmark's parts has it once), to its
-        power."""
-        split = [pieces(w) for w in words]
-        flat = [p for s in split for p in s]
-        codes = coded(flat)
-        sums = np.zeros((len(flat), len(self.words)), "f4")
+        """The word kernel with each landmark over the landmark's own, to its power: 1 for a word that has all of the landmark's
+        subsequences."""
+        out, at = np.zeros((len(words), len(self.words)), "f4"), 0
+        while at < len(words):
+            end, longest = at, 0
+            while end < len(words) and (end == at or (end - at + 1) * max(longest, len(words[end])) <= CELLS):
+                longest = max(longest, len(words[end]))
+                end += 1
+            out[at:end] = self._block(words[at:end])
+            at = end
+        return out
+
+    def _block(self, words: list[str]) -> np.ndarray:
+        codes = coded(words)
+        keys, shares = [], []
         for a, b in STEPS:
             width = codes.shape[1] - a - b
-            found = self.row[codes[:, :width] << 12 | codes[:, a : a + width] << 6 | codes[:, a + b : a + b + width]]
-            n, at = np.nonzero(found)
-            if len(n):
-                first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
-                sums[n[first]] += np.add.reduceat(self.weights[found[n, at]], first, axis=0) * np.float32(DECAY ** (a + b + 1))
-        values = np.minimum(sums / self.own**2, 1) ** POWER
-        if len(flat) > len(words):
-            start = np.cumsum([0, *map(len, split)])[:-1]
-            values = np.maximum.reduceat(values, start, axis=0)
-        return values
+            triple = codes[:, :width] << 12 | codes[:, a : a + width] << 6 | codes[:, a + b : a + b + width]
+            n, at = np.nonzero(self.row[triple])
+            keys.append(n.astype("i8") << 18 | triple[n, at])
+            shares.append(np.full(len(n), DECAY ** (a + b + 1)))
+        keys, shares = np.concatenate(keys), np.concatenate(shares)
+        sums = np.zeros((len(words), len(self.words)), "f4")
+        if len(keys):
+            order = np.argsort(keys, kind="stable")
+            keys, shares = keys[order], shares[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            each, keys = np.add.reduceat(shares, first).astype("f4"), keys[first]
+            n = keys >> 18
+            of = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+            sums[n[of]] = np.add.reduceat(np.minimum(each[:, None], self.weights[self.row[keys & 0x3FFFF]]), of, axis=0)
+        return (sums / self.own) ** POWER
 
 
 @dataclass
@@ -213,8 +226,12 @@ def choose_landmarks(names: list[str], toxic: list[np.ndarray], clean: list[np.n
     chosen, left = [], set(range(len(toxic)))
     while good and len(chosen) < LANDMARKS_TOXIC:
         s = max(good, key=lambda s: (len(good[s] & left), len(good[s]), len(s), s))
-        if len(good[s] & left) < least:
-            break
+        if len(good[s] & left) < least:  # all are covered: once more, by other strings
+            good = {o: d for o, d in good.items() if len(d) >= max(least, len(toxic) // 50)}
+            if len(left) == len(toxic):
+                break
+            left = set(range(len(toxic)))
+            continue
         chosen.append(s)
         left -= good[s]
         good = {o: d for o, d in good.items() if not (o.startswith(s) or s.startswith(o))}
@@ -229,7 +246,7 @@ def choose_landmarks(names: list[str], toxic: list[np.ndarray], clean: list[np.n
     return chosen, negative
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0.1) -> np.ndarray:
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0.5) -> np.ndarray:
     """A linear support vector machine (last column: bias) by Newton steps."""
     w, keep = np.zeros(x.shape[1]), np.ones(x.shape[1])
     keep[-1] = 1e-6
@@ -249,14 +266,15 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 0
 
 
 def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with the usual smoothed targets."""
+    """Slope and offset of a logistic curve, with the usual smoothed targets; a toxic document counts ``MISSED`` times."""
+    weight = np.where(label == 1, MISSED, 1.0)
     up, down = label.sum(), (1 - label).sum()
     target = np.where(label == 1, (up + 1) / (up + 2), 1 / (down + 2))
     scale = max(1e-6, margin.std())
     x, w = np.c_[margin / scale, np.ones(len(margin))], np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-4 * np.eye(2), x.T @ (p - target) + 1e-4 * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-4 * np.eye(2), x.T @ (weight * (p - target)) + 1e-4 * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -283,13 +301,10 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not chosen or label.min() == label.max():
         return Model([], np.zeros(0), 0.0, 1.0, 0.0)
     marks = Landmarks([*chosen, *negative])
-    own = marks.kernel(marks.words).astype("f8")
-    own = own * (marks.own ** (2 * POWER))[None, :]  # back to the symmetric kernel
-    scale = marks.own ** (2 * POWER)
-    norm = own / np.sqrt(np.outer(np.diag(own), np.diag(own)))
-    values, vectors = np.linalg.eigh((norm + norm.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    back = (scale / np.sqrt(np.diag(own)))[:, None] * root
+    scale = marks.own.astype("f8") ** (POWER / 2)
+    own = marks.kernel(marks.words).astype("f8") * scale[None, :] / scale[:, None]  # the symmetric kernel, 1 on its diagonal
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    back = (scale / scale.mean())[:, None] * (vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T)
     kernel = np.empty((len(names), len(marks.words)), "f4")
     hot_word = np.zeros(len(names), bool)
     by_length = np.argsort(np.fromiter(map(len, names), "i8", len(names)), kind="stable")
@@ -396,6 +411,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """``df`` with ``score`` and ``predicted`` of every whole text added (as ``__score``, ``__predicted``)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     names = list(df.columns)
+    if {"__score", "__predicted"} & set(names):
+        raise ValueError("columns __score and __predicted are there already")
     at = names.index(text_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __score double, __predicted int"
 

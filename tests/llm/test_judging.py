@@ -27,19 +27,23 @@ def brute_kernel(a, b):
         return out
 
     x, y = grams(a), grams(b)
-    return sum(x[k] * y[k] for k in x)
+    return sum(min(x[k], y[k]) for k in x)
 
 
 def test_string_kernel():
     marks = toxicity_ssk.Landmarks(["idiot", "moron", "été", "a"])
     words = ["idiot", "idxiot", "i.d.i.o.t", "1d1ot", "mororon", "été", "zzz", "", "a", "x" * 90 + "idiot" + "y" * 90]
     got = marks.kernel(words)
-    for n, w in enumerate(words[:-1]):
+    for n, w in enumerate(words):
         for m, z in enumerate(marks.words):
             own = brute_kernel(z, z)
-            expected = min(1, brute_kernel(w, z) / own) ** toxicity_ssk.POWER if own else 0
+            expected = (brute_kernel(w, z) / own) ** toxicity_ssk.POWER if own else 0
             assert got[n, m] == pytest.approx(expected, abs=1e-5), (w, z)
-    assert got[1, 0] > 0.05 > got[6, 0] and got[-1, 0] > 0.05  # inserted letter; inside a very long word
+    assert got[0, 0] == pytest.approx(1, abs=1e-5) and got[1, 0] > 0.05 > got[6, 0]  # an inserted letter
+    assert got[-1, 0] > 0.05  # inside a very long word
+    every = toxicity_ssk.Landmarks([w for w in words if len(w) > 2])
+    own = every.kernel(every.words) * every.own**toxicity_ssk.POWER
+    assert np.allclose(own, own.T, rtol=1e-4) and np.linalg.eigvalsh((own + own.T) / 2).min() > -1e-4 * own.max()
     assert toxicity_ssk.spelled_out("you i d i o t , a".split()) == ["idiot"]
 
 
