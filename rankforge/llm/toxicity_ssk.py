@@ -23,6 +23,7 @@ further columns are ignored by :func:`report` (labels, language, source and iden
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -37,7 +38,7 @@ from rankforge.llm.shared import forget, slices
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 56, 24, 0.85, 7, 3, 0.3
-REMEMBERED, MOST_WORDS, CELLS = 600_000, 40, 200_000
+REMEMBERED, MOST_WORDS, CELLS = 600_000, 40, 8_000
 #: What a missed toxic document weighs against a clean one that is marked.
 MISSED = 1.6
 #: Digits and signs that stand for letters.
@@ -402,9 +403,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     sampled = F.broadcast(sampled)  # at most TOXIC_ROWS + CLEAN_ROWS rows
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = df.select(F.col(id_col).alias("__id"), text.alias("t")).join(sampled, F.col("__id") == F.col("__lid"))
-    rows = chosen.groupBy("__id").agg(F.min("t").alias("t"), F.max("__y").alias("y")).collect()
-    rows.sort(key=lambda r: str(r["__id"]))
-    return train([r["t"] for r in rows], [int(r["y"] > 0) for r in rows]) if rows else Model([], np.zeros(0), 0.0, 1.0, 0.0)
+    rows = chosen.groupBy("__id").agg(F.min("t").alias("t"), F.max("__y").alias("y")).select(F.col("__id").cast("string").alias("i"), "t", (F.col("y") > 0).cast("int").alias("y"))
+
+    def learn(batches):
+        held = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if held:
+            _, texts, marks = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(list(texts), list(marks)))], pa.binary())], names=["model"])
+
+    # the sample is bounded: one task learns from it, and the driver is sent the landmarks and weights only
+    made = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model([], np.zeros(0), 0.0, 1.0, 0.0)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
