@@ -118,8 +118,12 @@ def shared_blocks(rows: int, max_bits: int) -> int:
 def bucket_links(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints: np.ndarray, max_bits: int, distances: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of the links inside each bucket, and how many pairs met, were discarded by their ``distances`` to
     the references, and were verified as links. ``prints``: rows of words. ``keys`` are sorted; rows of a bucket that stands for two
-    chunks (``sides`` 0 and 1) are compared across; -1: with all others. Pairs that are connected already don't meet."""
-    root, tally = np.arange(len(keys)), np.zeros(3, "i8")
+    chunks (``sides`` 0 and 1) are compared across; -1: with all others. Rows of one node are connected from the start, and pairs that are
+    connected already don't meet."""
+    order, tally = np.lexsort((nodes, keys)), np.zeros(3, "i8")
+    fresh = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])][: len(keys)]
+    root = np.empty(len(keys), "i8")
+    root[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     alive = np.arange(len(keys) - 1)
     step = 1
     while len(alive):
@@ -150,7 +154,7 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints:
                     break
                 root = above
         step += 1
-    linked = np.flatnonzero(root != np.arange(len(keys)))
+    linked = np.flatnonzero(nodes != nodes[root])
     return list(zip(nodes[linked].tolist(), nodes[root[linked]].tolist(), strict=True)), tally
 
 
@@ -159,8 +163,8 @@ def _signed(n: int) -> int:
 
 
 def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bits: int = MAX_BITS, chunk: int = CHUNK, tally=None) -> DataFrame:
-    """Edges ``u, v`` between different nodes that connect what links connect. ``distinct``: ``__node``, the fingerprint's words
-    ``__w0, ...`` and, if there is a pivot table, ``__d``. Two nodes meet if they agree in the bits of one of ``masks`` (a mask a
+    """Edges ``u, v`` between different nodes that connect what links connect. ``distinct``: ``__node`` (fingerprints of one node are
+    connected already), the fingerprint's words ``__w0, ...`` and, if there is a pivot table, ``__d``. Two nodes meet if they agree in the bits of one of ``masks`` (a mask a
     word). ``tally``: an accumulator a count of :func:`bucket_links`, for measurements."""
     words = [c for c in distinct.columns if c.startswith("__w")]
     listed = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(_signed(m)).alias(f"m{i}") for i, m in enumerate(mask)]) for t, mask in enumerate(masks)])
@@ -168,14 +172,14 @@ def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bit
     keyed = distinct.select("*", F.explode(key).alias("k"))
     # how large buckets are is only asked to deal them out; one node of ``rate`` tells
     rate = max(1, chunk // 128)
-    asked = keyed.where(F.pmod(F.xxhash64("__node", F.lit(1)), F.lit(rate)) == 0) if rate > 1 else keyed
+    asked = keyed.where(F.pmod(F.xxhash64(*words, F.lit(1)), F.lit(rate)) == 0) if rate > 1 else keyed
     hot = written(asked.groupBy("k").agg((F.count("*") * rate).alias("n")).where(F.col("n") > chunk * 3 // 4), "hot-buckets")
     n_hot = hot.count()
     side = F.lit(-1).cast("byte").alias("side")
     if n_hot:
         keyed = keyed.join(F.broadcast(hot) if n_hot <= FEW_HOT else hot, "k", "left")
         parts = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
-        mine = F.pmod(F.xxhash64("__node"), parts).cast("int")
+        mine = F.pmod(F.xxhash64(*words), parts).cast("int")
         pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.when(parts == 1, F.col("k")).otherwise(F.xxhash64("k", F.least(o, mine), F.greatest(o, mine))).alias("k"), F.when(o == mine, -1).otherwise((mine > o).cast("int")).cast("byte").alias("side")))
         keyed = keyed.select(*distinct.columns, F.explode(pair).alias("p")).select(*distinct.columns, "p.k", "p.side")
     else:
