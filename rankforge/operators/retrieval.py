@@ -162,15 +162,16 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     return exact_search(chunks.select(*CHUNK, "text"), CHUNK, score, [r["query_id"] for r in rows], lambda at, end: vectors[at:end], k)
 
 
-def array_search(items: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
-    """Top rows by inner product of stored vectors."""
+def array_search(items: DataFrame, id_col: str | list[str], vector_col: str, queries: DataFrame, k: int) -> DataFrame:
+    """Top rows by inner product of stored vectors; rows are named by one column or several."""
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
     rows = queries.select("query_id", vector_col).orderBy("query_id").collect()
     vectors = np.array([r[vector_col] for r in rows], "f8")
 
     def score(column, asked, _):
-        return np.array(column.to_pylist(), "f8").reshape(-1, asked.shape[1]) @ asked.T
+        return np.array(column.to_pylist(), "f8").reshape(len(column), -1) @ asked.T if asked.ndim == 2 else np.zeros((len(column), 0))
 
-    return exact_search(items.select(id_col, vector_col), [id_col], score, [r["query_id"] for r in rows], lambda at, end: vectors[at:end], k)
+    return exact_search(items.select(*keys, vector_col), keys, score, [r["query_id"] for r in rows], lambda at, end: vectors[at:end], k)
 
 
 def fuse(every: DataFrame, k: int = 5, constant: int = 60) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.functions.cost import model_cost
 from rankforge.functions.queries import query_variants
+from rankforge.functions.text import estimate_tokens
 from rankforge.operators import chunking, models, retrieval
 from rankforge.operators.rerankers import make_reranker
 from rankforge.operators.retrieval import CHUNK, ranked
@@ -28,6 +30,7 @@ class Options:
     chunker: dict = field(default_factory=dict)
     retrieval: dict = field(default_factory=dict)
     features: dict = field(default_factory=dict)
+    embedder: models.Embedder | None = None  # none: hashed token vectors
 
     def number(self, *names: str, default: int) -> int:
         """The first of these retrieval options that is stated and not zero."""
@@ -59,6 +62,23 @@ def _variants(queries: DataFrame, options: Options, default: bool = False) -> Da
     return wordings(queries, F.array("text"))
 
 
+def dense(chunks: DataFrame, asked: DataFrame, k: int, options: Options) -> DataFrame:
+    """Vector search by the system's embedder, or by hashed tokens."""
+    if options.embedder is None:
+        return retrieval.vector_search(chunks, asked, k)
+    stored = models.embed(chunks.select(*CHUNK, "text"), options.embedder)
+    return retrieval.array_search(stored, CHUNK, "embedding", models.embed(asked.select("query_id", "text"), options.embedder), k)
+
+
+def embedding_tokens(chunks: DataFrame, embedder: models.Embedder | None) -> tuple[int, float]:
+    """Estimated tokens of all texts that are embedded, and what they cost at the embedder's price; nothing without one."""
+    if embedder is None:
+        return 0, 0.0
+    n = F.coalesce(F.sum(estimate_tokens(F.col("text"))), F.lit(0))
+    row = chunks.agg(n.alias("n"), model_cost(F.lit(embedder.name), n, F.lit(0)).alias("cost")).first()
+    return row["n"], row["cost"]
+
+
 def _with_texts(ranking: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranking.join(chunks, CHUNK).select("query_id", "rank", "chunk_id", "doc_id", "text", "score")
 
@@ -70,22 +90,22 @@ def bm25(docs: DataFrame, queries: DataFrame, options: Options, model: models.Ge
 
 def vector(docs: DataFrame, queries: DataFrame, options: Options, model: models.Generator | None = None) -> DataFrame:
     chunks = chunks_of(docs, options)
-    return _with_texts(retrieval.vector_search(chunks, queries, options.number("top_k", default=5)), chunks)
+    return _with_texts(dense(chunks, queries, options.number("top_k", default=5), options), chunks)
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, options: Options, model: models.Generator | None = None) -> DataFrame:
     """Reciprocal ranks of BM25 and vectors over all wordings; each wording's BM25 comes before its vectors on ties."""
     chunks, asked = chunks_of(docs, options), _variants(queries, options)
     lexical = of_questions(retrieval.bm25(chunks, asked, options.number("bm25_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2)
-    dense = of_questions(retrieval.vector_search(chunks, asked, options.number("vector_top_k", default=20)), queries).withColumn("source", F.col("variant") * 2 + 1)
-    fused = retrieval.fuse(lexical.unionByName(dense), options.number("final_top_k", "top_k", default=5), options.number("rrf_k", default=60))
+    by_vectors = of_questions(dense(chunks, asked, options.number("vector_top_k", default=20), options), queries).withColumn("source", F.col("variant") * 2 + 1)
+    fused = retrieval.fuse(lexical.unionByName(by_vectors), options.number("final_top_k", "top_k", default=5), options.number("rrf_k", default=60))
     return _with_texts(fused, chunks)
 
 
 def rerank(docs: DataFrame, queries: DataFrame, options: Options, model: models.Generator | None = None) -> DataFrame:
     """Vectors over all wordings, each chunk with its best score, reranked against the question itself."""
     chunks = chunks_of(docs, options)
-    found = of_questions(retrieval.vector_search(chunks, _variants(queries, options), options.number("candidate_top_k", default=30)), queries)
+    found = of_questions(dense(chunks, _variants(queries, options), options.number("candidate_top_k", default=30), options), queries)
     order = make_reranker(options.retrieval.get("reranker"), model)
     return _with_texts(order(retrieval.candidates(found), chunks, queries, options.number("final_top_k", "top_k", default=5)), chunks)
 
@@ -96,7 +116,7 @@ def parent_doc(docs: DataFrame, queries: DataFrame, options: Options, model: mod
     parents, kids = chunking.chunk_parents(docs, size("parent", 1000, 150), size("child", 250, 50))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_index", "child_index")) - 1
     kids = kids.withColumn("chunk_index", number).persist(StorageLevel.MEMORY_AND_DISK)
-    found = retrieval.vector_search(kids, queries, options.number("top_k_children", default=8))
+    found = dense(kids, queries, options.number("top_k_children", default=8), options)
     best = retrieval.parents_of(found, kids.select(*CHUNK, "parent_chunk_id"), options.number("top_k_parents", "top_k", default=4))
     return best.join(parents.withColumnRenamed("chunk_id", "parent_chunk_id"), "parent_chunk_id").select("query_id", "rank", F.col("parent_chunk_id").alias("chunk_id"), "doc_id", "text", "score")
 
@@ -120,7 +140,7 @@ def model_heavy(docs: DataFrame, queries: DataFrame, options: Options, model: mo
         said = models.kept(models.generate(queries.select("query_id", "text", prompt.alias("prompt")), model))
         named = F.filter(F.transform(F.coalesce(F.from_json("reply", "queries array<string>")["queries"], F.array().cast("array<string>")), F.trim), lambda t: t != "")
         asked = wordings(said, F.when(F.size(named) > 0, F.slice(named, 1, 5)).otherwise(F.array("text")))
-    found = of_questions(retrieval.vector_search(searched, asked, options.number("per_query_top_k", default=10)), queries)
+    found = of_questions(dense(searched, asked, options.number("per_query_top_k", default=10), options), queries)
     order = make_reranker("llm" if wanted.get("enable_llm_rerank", False) else options.retrieval.get("reranker"), model)
     return _with_texts(order(retrieval.candidates(found), chunks, queries, options.number("top_k", default=5)), chunks)
 

@@ -1,6 +1,8 @@
 """Every registered query of the retrieval operators against its SQL on the small tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,8 +36,20 @@ def test_same_as_sql(spark, sf_dir, sql, name):
     assert ours == sorted(tuple(plain(r[i]) for i in at) for r in expected.fetchall())
 
 
-def test_entry_imports_without_the_llm_package(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_imports_without_the_llm_package():
+    code = """
+import sys
+sys.modules["rankforge.llm"] = sys.modules["corpus_pipeline"] = None
+import __spark_entry__ as entry
+from rankforge.plans import registry
+assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLE_SQL)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root})

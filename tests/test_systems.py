@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from rankforge.__main__ import inspect, main
-from rankforge.operators import evaluation, judging, metrics, models, reports, rerankers, retrieval, systems
+from rankforge.operators import collections, evaluation, judging, metrics, models, reports, rerankers, retrieval, systems
 from rankforge.sources import experiment
 from rankforge.sources.demo import DOCS, QUESTIONS, write_demo
 
@@ -125,6 +125,36 @@ def test_embedder_scales_and_counts_batches(spark):
     assert len(got) == 250 and got[0] == [0, 0] and got[7] == pytest.approx([0.6, 0.8])
 
 
+def letters():
+    """Counts of a few letters as vectors."""
+    return models.Embedder("text-embedding-3-small", lambda texts: [[1.0 + t.lower().count(c) for c in "rbceu"] for t in texts])
+
+
+def test_collections_are_stored_and_searched(spark, small, tmp_path):
+    docs, queries = small
+    chunks = systems.chunks_of(docs, systems.Options()).withColumns({"more": F.array(F.lit(1), F.lit(2)), "day": F.lit("2020-01-02").cast("date"), "none": F.lit(None).cast("string")})
+    path = collections.write_collection(chunks, f"file://{tmp_path}", "a b!", letters())
+    assert path.endswith("/a_b")
+    stored = spark.read.parquet(path)
+    first = stored.first()
+    assert (first["more"], first["day"], first["none"]) == ("[1,2]", '"2020-01-02"', None) and stored.count() == chunks.count()
+    asked = queries.where("query_id in ('q1', 'q3')")
+    got = [tuple(r) for r in collections.search_collection(spark, path, asked, 2, letters()).orderBy("query_id", "rank").collect()]
+    vector = lambda t: (lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v])(letters().call([t])[0])
+    for q, rank, doc, _, score in got:
+        scores = sorted((round(sum(a * b for a, b in zip(vector(dict(asked.collect())[q]), vector(t), strict=True)), 6) for t in TEXTS[:3]), reverse=True)
+        assert score == pytest.approx(scores[rank - 1], abs=2e-6)
+    assert len(got) == 4
+    by_system = systems.retrieve("vector", docs, asked, systems.Options({}, {"top_k": 2}, {}, letters())).orderBy("query_id", "rank")
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in by_system.collect()] == [g[:3] for g in got]
+    assert systems.embedding_tokens(chunks, letters())[0] == sum(models.words(t) for t in TEXTS[:3]) and systems.embedding_tokens(chunks, None) == (0, 0.0)
+
+
+@pytest.mark.parametrize("name, made", [("ab", "collection_ab"), ("", "collection"), ("__x y__", "x_y"), ("-abc-", "abc"), ("a" * 70, "a" * 63), ("doc set/1", "doc_set_1")])
+def test_collection_names(name, made):
+    assert collections.collection_name(name) == made
+
+
 def test_labels_and_gains_may_disagree(spark):
     queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
     ranking = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (3, 1, "a")], "query_id long, rank int, doc_id string")
