@@ -101,8 +101,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs_of(df, id_col, text_col, two, three)
     place = F.struct(*KEY, "__from", "__to")
     # a run may occur many times in one document, or in rows that repeat: equal places are one occurrence
-    groups = runs.groupBy("__h", "__g").agg(F.min(place).alias("__first"), F.max(place).alias("__last"), F.count("*").alias("__n"))
-    repeated = written(groups.where(F.col("__first") != F.col("__last")).select("__h", "__g", "__first", "__n"), "repeated-runs")
+    named = runs.withColumn("__q", F.xxhash64(*KEY, "__from", "__to"))  # a place's hash, narrower than the place
+    groups = named.groupBy("__h", "__g").agg(F.min(place).alias("__first"), F.min("__q").alias("__low"), F.max("__q").alias("__high"), F.count("*").alias("__n"))
+    repeated = written(groups.where(F.col("__low") != F.col("__high")).select("__h", "__g", "__first", "__n"), "repeated-runs")
     hot = repeated.where(F.col("__n") > HOT).select("__h", "__g", F.lit(True).alias("__hot"))
     if n_hot := hot.count():  # a very common run's places go to many tasks
         runs = runs.join(F.broadcast(hot) if n_hot <= FEW_HOT else hot, ["__h", "__g"], "left")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from rankforge.llm import components, line_spread, sentence_spans, simhash_copies, simhash_pivots
@@ -129,7 +130,9 @@ def brute_spans(docs, two, three):
     return ["".join(s for i, s in enumerate(p) if i not in c) for p, c in zip(parts, cut, strict=True)], [len(c) for c in cut]
 
 
-def test_sentence_spans(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_sentence_spans(spark, monkeypatch, hot):
+    monkeypatch.setattr(sentence_spans, "HOT", hot)  # 3: common runs are dealt out
     rng = random.Random(9)
     sentence = lambda: " ".join(rng.choice(["the", "cat", "Dog", "was", "é", "run"]) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "?"])
     passage = " ".join(sentence() for _ in range(9))
