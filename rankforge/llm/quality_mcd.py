@@ -1,13 +1,15 @@
 """Quality rules by robust multivariate outliers, DataFrame functions only.
 
 Every text has base statistics. Those that pass the base rules get a vector of transformed statistics; per language and
-source a minimum-covariance-determinant estimate (concentration steps from a start at the medians) gives centre and
-scatter, and a text whose squared Mahalanobis distance is over a chi-square quantile is rejected.
+source a minimum-covariance-determinant estimate gives centre and scatter: four deterministic starts, concentration steps
+until no determinant changes, the start with the least determinant. A text whose squared Mahalanobis distance is over a
+chi-square quantile is rejected. A group's estimate is shrunk towards its language's by a weight that falls smoothly with
+its size, so small groups are judged alike, and the scatter's diagonal has floors (steps and determinants include them).
 
-Vectors are whole numbers (thousandths), so sums are exact and do not depend on the order of rows, and medians and distance
-quantiles are exact with bounded state (``percentile`` keeps a counter a different value). Only sums and counters are
-shuffled; a group of a third of all rows is a group like any other. Groups of fewer than ``SMALL`` texts share one estimate a
-language.
+Vectors are whole numbers (thousandths), so sums are exact and do not depend on the order of rows, and medians are exact
+with bounded state (``percentile`` keeps a counter a different value). The nearest share of a group is found from counts of
+distances on a logarithmic grid, without a largest value; of texts at the limit's grid step all count. Only sums and
+counts are shuffled; a group of a third of all rows is a group like any other.
 
 Defined cases: a null text has no words (all zero, base rule failed); null language or source is a value of its own;
 repeated rows are kept; an empty table gives an empty frame; further columns are ignored. Repeated windows are told apart by
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.llm.shared import written
@@ -26,16 +28,18 @@ from rankforge.llm.shared import written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Share of a group that the estimate rests on, concentration steps, quantile beyond which a text is rejected.
-SHARE, STEPS, QUANTILE, SMALL = 0.75, 6, 0.9999999, 50
+#: Share of a group that the estimate rests on, quantile beyond which a text is rejected, texts a language's estimate weighs.
+SHARE, QUANTILE, PRIOR = 0.75, 0.9999999, 50
+#: Concentration stops once no log determinant changes by more; steps that none may need; steps of a distance a unit of its logarithm.
+STABLE, MOST_STEPS, FINE = 1e-4, 40, 200
 #: Pseudo-words that draw the mean word length of short texts to their group's; thousandths.
 PSEUDO, UNIT = 100, 1000
 #: Least standard deviation of each coordinate, in thousandths: mean word length (log), symbols, repeated lines,
 #: repeated words (roots of shares). Most texts have none of the last three, so their scatter would vanish.
 FLOORS = (40, 40, 150, 130)
 P = len(FLOORS)
-#: Groups up to which their estimates (some 20 numbers each) are broadcast.
-FEW = 20_000
+#: Groups up to which their estimates (four starts of some 30 numbers each, and the languages') are broadcast.
+FEW = 5_000
 
 
 def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -84,21 +88,36 @@ def chi_square_quantile(q: float, dof: int) -> float:
     return high
 
 
-def _moments(docs: DataFrame, group: list[str]) -> DataFrame:
-    """Centre, and the Cholesky factor of the scatter (with the floors) of each group, as columns."""
-    sums = [F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(P)]
-    cross = [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    m = docs.groupBy(*group).agg(F.count("*").cast("double").alias("n"), *sums, *cross)
+def _pairs(name: str) -> list[str]:
+    return [f"{name}{i}{j}" for i in range(P) for j in range(i + 1)]
+
+
+X, CENTRE, SCATTER, FACTOR = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)], _pairs("c"), _pairs("l")
+
+
+def _cross(names: list[str], to: str) -> list[Column]:
+    """Exact sums of the products of whole-numbered columns."""
+    return [F.sum((F.col(names[i]) * F.col(names[j])).cast("decimal(20,0)")).cast("double").alias(f"{to}{i}{j}") for i in range(P) for j in range(i + 1)]
+
+
+def _moments(docs: DataFrame, keys: list[str], share: float = 1.0) -> DataFrame:
+    """Centre and scatter of each group; those of the nearest ``share`` of a group are widened to hold for all of it."""
+    m = docs.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(x).cast("double").alias(f"s{i}") for i, x in enumerate(X)], *_cross(X, "q"))
     mean = {i: F.col(f"s{i}") / F.col("n") for i in range(P)}
-    factor = SHARE / chi_square(chi_square_quantile(SHARE, P), P + 2)
-    m = m.select(*group, *[mean[i].alias(f"m{i}") for i in range(P)], *[((F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    factor = share / chi_square(chi_square_quantile(share, P), P + 2) if share < 1 else 1.0
+    scatter = [((F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * factor + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    return m.select(*keys, *[mean[i].alias(f"m{i}") for i in range(P)], *scatter)
+
+
+def _factored(m: DataFrame) -> DataFrame:
+    """With the Cholesky factor of the scatter and the logarithm of its determinant, ``ld``."""
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             m = m.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
-    return m.select(*group, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    return m.withColumn("ld", sum((2 * F.ln(f"l{i}{i}") for i in range(1, P)), 2 * F.ln("l00")))
 
 
 def _distance() -> Column:
@@ -111,30 +130,65 @@ def _distance() -> Column:
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
-def _measured(docs: DataFrame, estimate: DataFrame, group: list[str], few: bool) -> DataFrame:
-    """Squared distances, as hundredths up to 10,000 (bounded state for their quantiles)."""
-    return docs.join(_sent(estimate, few), group).withColumn("d", F.least(F.round(_distance() * 100), F.lit(1_000_000)).cast("long"))
-
-
 def _sent(small: DataFrame, few: bool) -> DataFrame:
-    """A frame of a row a group: broadcast where the groups were counted and are few, so that texts need not meet by group."""
+    """A frame of some rows a group: broadcast where the groups were counted and are few, so that texts need not meet by group."""
     return F.broadcast(small) if few else small
 
 
-def estimates(docs: DataFrame, group: list[str], few: bool = False) -> DataFrame:
-    """Minimum-covariance-determinant centre and scatter of ``x0..`` for each group."""
-    middle = docs.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)])
-    spread = docs.join(_sent(middle, few), group).groupBy(*group).agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).cast("long"), 0.5).alias(f"a{i}") for i in range(P)]
+def _starts(docs: DataFrame, group: list[str], few: bool) -> DataFrame:
+    """Four first estimates a group (column ``start``): medians with median deviations; these with the correlations of
+    spatial signs; with those of hyperbolic tangents; mean and covariance of all."""
+    middle = docs.groupBy(*group).agg(*[F.percentile(x, 0.5).alias(m) for x, m in zip(X, CENTRE, strict=True)])
+    away = [F.percentile(F.abs(F.col(x) - F.col(m)).cast("long"), 0.5) for x, m in zip(X, CENTRE, strict=True)]
+    scales = [F.greatest(a * 1.4826, F.lit(float(f))).alias(f"a{i}") for i, (a, f) in enumerate(zip(away, FLOORS, strict=True))]
+    spread = written(docs.join(_sent(middle, few), group).groupBy(*group, *CENTRE).agg(*scales), "spread")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}") for i in range(P)]
+    norm = F.greatest(F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    bent = docs.join(_sent(spread, few), group).select(
+        *group, *X, *[F.round(v / norm * UNIT).cast("long").alias(f"u{i}") for i, v in enumerate(z)], *[F.round(F.tanh(v) * UNIT).cast("long").alias(f"t{i}") for i, v in enumerate(z)]
     )
-    now = spread.select(*group, *[f"m{i}" for i in range(P)], *[(F.greatest(F.col(f"a{i}") * 1.4826, F.lit(float(FLOORS[i]))) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
-    for _ in range(STEPS):
-        now = written(now, "scatter")
-        measured = _measured(docs, now, group, few).select(*group, "d", *[f"x{i}" for i in range(P)])
-        limit = measured.groupBy(*group).agg(F.percentile("d", SHARE).alias("limit"))
-        near = measured.join(_sent(limit, few), group).where(F.col("d") <= F.col("limit"))
-        now = _moments(near, group)
-    return written(now, "scatter")
+    turned = bent.groupBy(*group).agg(*_cross([f"u{i}" for i in range(P)], "u"), *_cross([f"t{i}" for i in range(P)], "t"))
+
+    def by_correlation(kind):
+        own = lambda i, j: F.col(f"a{i}") * F.col(f"a{j}")
+        size = lambda i, j: F.sqrt(F.greatest(F.col(f"{kind}{i}{i}") * F.col(f"{kind}{j}{j}"), F.lit(1.0)))
+        return [(own(i, j) if i == j else own(i, j) * F.col(f"{kind}{i}{j}") / size(i, j) if kind else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+
+    robust = [spread.join(turned, group).select(*group, F.lit(n).alias("start"), *CENTRE, *by_correlation(kind)) for n, kind in enumerate(("", "u", "t"))]
+    plain = _moments(docs, group).select(*group, F.lit(3).alias("start"), *CENTRE, *SCATTER)
+    return robust[0].union(robust[1]).union(robust[2]).union(plain)
+
+
+def estimates(docs: DataFrame, group: list[str], few: bool = False) -> DataFrame:
+    """Minimum-covariance-determinant centre (``m0..``), scatter (``c00..``), its Cholesky factor (``l00..``) and the
+    logarithm of its determinant (``ld``) of ``x0..`` for each group: from each start, the nearest ``SHARE`` of the group
+    gives the next estimate until no determinant changes; the least one counts (of equal ones, the earliest start's)."""
+    keys = [*group, "start"]
+    now = written(_factored(_starts(docs, group, few)), "scatter")
+    for _ in range(MOST_STEPS):
+        measured = docs.join(_sent(now, few), group).select(*keys, *X, F.round(F.log1p(_distance()) * FINE).cast("int").alias("d"))
+        counts = measured.groupBy(*keys, "d").agg(F.count("*").alias("n"))
+        whole = Window.partitionBy(*keys)
+        counts = counts.select(*keys, "d", F.sum("n").over(whole.orderBy("d")).alias("up_to"), F.sum("n").over(whole).alias("all"))
+        limit = counts.where(F.col("up_to") >= F.ceil(F.col("all") * SHARE)).groupBy(*keys).agg(F.min("d").alias("limit"))
+        near = measured.join(_sent(limit, few), keys).where(F.col("d") <= F.col("limit"))
+        after = _factored(_moments(near, keys, SHARE)).join(now.select(*keys, F.col("ld").alias("before")), keys)
+        now = written(after, "scatter")
+        moved = now.where(F.abs(F.col("ld") - F.col("before")) > STABLE).limit(1).count()
+        now = now.drop("before")
+        if not moved:
+            break
+    least = now.groupBy(*group).agg(F.min(F.struct("ld", "start", *CENTRE, *SCATTER, *FACTOR)).alias("least"))
+    return written(least.select(*group, "least.*"), "scatter")
+
+
+def _shrunk(estimate: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row a language and source: its own estimate with weight n / (n + ``PRIOR``), the language's with the rest."""
+    own = estimate.where(~F.col("__whole")).drop("__whole")
+    language = estimate.where("__whole").select("__lang", *[F.col(c).alias(f"w{c}") for c in (*CENTRE, *SCATTER)])
+    weight = F.col("__n") / (F.col("__n") + PRIOR)
+    mixed = sizes.join(own, ["__lang", "__source"]).join(language, "__lang")
+    return _factored(mixed.select("__lang", "__source", *[(F.col(c) * weight + F.col(f"w{c}") * (1 - weight)).alias(c) for c in (*CENTRE, *SCATTER)])).select("__lang", "__source", *CENTRE, *FACTOR)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -146,15 +200,16 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     passed = base.where(~F.col("__failed"))
     sizes = written(passed.groupBy("__lang", "__source").agg(F.count("*").alias("__n"), (F.sum("__word_chars") / F.sum("__n_words")).alias("__mean")), "sizes")
     few = sizes.count() <= FEW
-    pooled = sizes.select("__lang", "__source", "__mean", F.when(F.col("__n") < SMALL, F.lit("\0\0")).otherwise(F.col("__source")).alias("__group"))
     share = lambda a, b: F.round(F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1))) * UNIT).cast("long")
     length = (F.col("__word_chars") + F.col("__mean") * PSEUDO) / (F.col("__n_words") + PSEUDO)
     vector = [F.round(F.ln(length) * UNIT).cast("long"), share("__n_symbols", "__word_chars"), share("__n_dup_lines", "__n_lines"), share("__n_repeat_words", "__n_words")]
-    out = base.join(_sent(pooled, few), ["__lang", "__source"], "left")
-    out = out.select("__id", "__lang", "__group", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__failed", *[F.when(~F.col("__failed"), v).alias(f"x{i}") for i, v in enumerate(vector)])
-    docs = out.where(~F.col("__failed")).select("__lang", "__group", *[f"x{i}" for i in range(P)])
-    estimate = estimates(docs, ["__lang", "__group"], few)
-    measured = out.join(_sent(estimate, few), ["__lang", "__group"], "left").withColumn("__d", _distance())
+    out = base.join(_sent(sizes.select("__lang", "__source", "__mean"), few), ["__lang", "__source"], "left")
+    out = out.select("__id", "__lang", "__source", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__failed", *[F.when(~F.col("__failed"), v).alias(f"x{i}") for i, v in enumerate(vector)])
+    levels = F.array(F.struct(F.col("__source").alias("__source"), F.lit(False).alias("__whole")), F.struct(F.lit("").alias("__source"), F.lit(True).alias("__whole")))
+    docs = out.where(~F.col("__failed")).select("__lang", F.inline(levels), *X)
+    estimate = estimates(docs, ["__lang", "__source", "__whole"], few)
+    joint = written(_shrunk(estimate, sizes), "scatter")
+    measured = out.join(_sent(joint, few), ["__lang", "__source"], "left").withColumn("__d", _distance())
     cut = chi_square_quantile(QUANTILE, P)
     kept = F.when(F.col("__failed"), F.lit(False)).otherwise(F.coalesce(F.col("__d") <= cut, F.lit(True)))
     return measured.select(

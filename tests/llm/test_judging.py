@@ -145,6 +145,49 @@ def test_scatter_resists_outliers(spark):
     assert quality_mcd.chi_square_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
 
 
+def plain_step(x, centre, scatter):
+    z = x - centre
+    d = np.round(np.log1p(np.einsum("ni,ij,nj->n", z, np.linalg.inv(scatter), z)) * quality_mcd.FINE)
+    near = x[d <= np.sort(d)[int(np.ceil(len(x) * quality_mcd.SHARE)) - 1]]
+    widened = quality_mcd.SHARE / quality_mcd.chi_square(quality_mcd.chi_square_quantile(quality_mcd.SHARE, 4), 6)
+    return near.mean(0), np.cov(near.T, bias=True) * widened + np.diag(np.array(quality_mcd.FLOORS, float) ** 2)
+
+
+def test_least_determinant(spark):
+    """No worse than many random starts: a far clump, correlated outliers, one constant coordinate, a single text."""
+    rng = np.random.default_rng(5)
+    tilted = rng.multivariate_normal([0, 0, 0, 0], 90_000 * (np.full((4, 4), 0.9) + 0.1 * np.eye(4)), 600)
+    groups = {
+        "clump": np.concatenate([rng.normal(0, 200, (700, 4)), rng.normal(4000, 60, (220, 4))]),
+        "across": np.concatenate([tilted, rng.normal(0, 30, (150, 4)) + [900, -900, 900, -900]]),
+        "flat": np.concatenate([np.c_[rng.normal(0, 300, (300, 3)), np.zeros(300)], rng.normal(2000, 900, (60, 4))]),
+        "one": np.array([[5.0, 6, 7, 8]]),
+    }
+    groups = {k: v.round() for k, v in groups.items()}
+    docs = spark.createDataFrame([(k, *map(int, r)) for k, v in groups.items() for r in v], "k string, x0 long, x1 long, x2 long, x3 long").repartition(3)
+    fits = {r["k"]: r.asDict() for r in quality_mcd.estimates(docs, ["k"], few=True).collect()}
+    assert sorted(fits) == sorted(groups)
+    for k, x in groups.items():
+        fit = fits[k]
+        centre = np.array([fit[f"m{i}"] for i in range(4)])
+        low = np.array([[fit[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        scatter = low @ low.T
+        assert fit["ld"] == pytest.approx(np.linalg.slogdet(scatter)[1], abs=1e-6)
+        if len(x) == 1:
+            assert centre.tolist() == x[0].tolist()
+            continue
+        best = np.inf
+        for _ in range(60):
+            some = x[rng.choice(len(x), 6, replace=False)]
+            c, s = some.mean(0), np.cov(some.T, bias=True) + np.diag(np.array(quality_mcd.FLOORS, float) ** 2)
+            for _ in range(30):
+                c, s = plain_step(x, c, s)
+            best = min(best, np.linalg.slogdet(s)[1])
+        assert fit["ld"] <= best + 0.02, (k, fit["ld"], best)
+        again = plain_step(x, centre, scatter)
+        assert np.allclose(again[0], centre, atol=3) and np.linalg.slogdet(again[1])[1] == pytest.approx(fit["ld"], abs=0.02)
+
+
 # -- archives
 
 
