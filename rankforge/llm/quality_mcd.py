@@ -2,7 +2,7 @@
 
 Every text has base statistics. Those that pass the base rules get a vector of transformed statistics; per language and
 source a minimum-covariance-determinant estimate gives centre and scatter: four deterministic starts, concentration steps
-until no determinant changes, the start with the least determinant. A text whose squared Mahalanobis distance is over a
+while they lower the determinant, the least determinant of all. A text whose squared Mahalanobis distance is over a
 chi-square quantile is rejected. A group's estimate is shrunk towards its language's by a weight that falls smoothly with
 its size, so small groups are judged alike, and the scatter's diagonal has floors (steps and determinants include them).
 
@@ -18,6 +18,7 @@ repeated rows are kept; an empty table gives an empty frame; further columns are
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Share of a group that the estimate rests on, quantile beyond which a text is rejected, texts a language's estimate weighs.
 SHARE, QUANTILE, PRIOR = 0.75, 0.9999999, 50
-#: Concentration stops once no log determinant changes by more; steps that none may need; steps of a distance a unit of its logarithm.
-STABLE, MOST_STEPS, FINE = 1e-4, 40, 200
+#: A start is done once a step lowers its log determinant by no more; grid steps of a distance a unit of its logarithm.
+STABLE, FINE = 1e-3, 200
 #: Pseudo-words that draw the mean word length of short texts to their group's; thousandths.
 PSEUDO, UNIT = 100, 1000
 #: Least standard deviation of each coordinate, in thousandths: mean word length (log), symbols, repeated lines,
@@ -162,22 +163,26 @@ def _starts(docs: DataFrame, group: list[str], few: bool) -> DataFrame:
 def estimates(docs: DataFrame, group: list[str], few: bool = False) -> DataFrame:
     """Minimum-covariance-determinant centre (``m0..``), scatter (``c00..``), its Cholesky factor (``l00..``) and the
     logarithm of its determinant (``ld``) of ``x0..`` for each group: from each start, the nearest ``SHARE`` of the group
-    gives the next estimate until no determinant changes; the least one counts (of equal ones, the earliest start's)."""
+    gives the next estimate while that lowers the start's determinant; the least of all steps counts (of equal ones, the
+    earliest start's). Starts that are done are not measured again, and every further step lowers a determinant, so it ends."""
     keys = [*group, "start"]
-    now = written(_factored(_starts(docs, group, few)), "scatter")
-    for _ in range(MOST_STEPS):
-        measured = docs.join(_sent(now, few), group).select(*keys, *X, F.round(F.log1p(_distance()) * FINE).cast("int").alias("d"))
+    columns = [*keys, "ld", *CENTRE, *SCATTER, *FACTOR]
+    moving = written(_factored(_starts(docs, group, few)).select(*columns, F.lit(0.0).alias("before")), "scatter")
+    steps: list[DataFrame] = []
+    while moving.limit(1).count():
+        measured = docs.join(_sent(moving.drop("ld", "before"), few), group).select(*keys, *X, F.round(F.log1p(_distance()) * FINE).cast("int").alias("d"))
         counts = measured.groupBy(*keys, "d").agg(F.count("*").alias("n"))
         whole = Window.partitionBy(*keys)
         counts = counts.select(*keys, "d", F.sum("n").over(whole.orderBy("d")).alias("up_to"), F.sum("n").over(whole).alias("all"))
         limit = counts.where(F.col("up_to") >= F.ceil(F.col("all") * SHARE)).groupBy(*keys).agg(F.min("d").alias("limit"))
         near = measured.join(_sent(limit, few), keys).where(F.col("d") <= F.col("limit"))
-        after = _factored(_moments(near, keys, SHARE)).join(now.select(*keys, F.col("ld").alias("before")), keys)
-        now = written(after, "scatter")
-        moved = now.where(F.abs(F.col("ld") - F.col("before")) > STABLE).limit(1).count()
-        now = now.drop("before")
-        if not moved:
-            break
+        # a first estimate does not rest on the nearest share, so its determinant is not compared
+        before = F.col("ld") if steps else F.lit(float("inf"))
+        after = _factored(_moments(near, keys, SHARE)).join(moving.select(*keys, before.alias("before")), keys)
+        after = written(after.select(*columns, "before"), "scatter")
+        steps.append(after.select(*columns))
+        moving = after.where(F.col("before") - F.col("ld") > STABLE)
+    now = reduce(DataFrame.union, steps) if steps else moving.select(*columns)
     least = now.groupBy(*group).agg(F.min(F.struct("ld", "start", *CENTRE, *SCATTER, *FACTOR)).alias("least"))
     return written(least.select(*group, "least.*"), "scatter")
 
