@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (SimHash candidates, five-word shingles, Jaccard similarity of 0.8 or more) stays."""
+    """One document of each group of near copies (SimHash candidates that a pivot distance table leaves, five-word shingles, Jaccard similarity of 0.8 or more) stays."""
     return simhash_copies.first_of_each(docs)
 
 

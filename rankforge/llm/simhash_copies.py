@@ -3,10 +3,13 @@
 Two texts are linked when their sets of ``SHINGLE`` consecutive words are at least ``NEAR`` tenths alike (overlap over union); one
 text of each connected group stays. Equal sets meet by a hash of the set. Such pairs differ in about 15 % of the bits of a SimHash
 (19 of ``BITS``, with a spread of 4), so links of ``MAX_BITS`` bits are looked for. Blocks that all such pairs must share don't exist at
-that width and pivot distances discard none of them, so fingerprints meet in buckets of random choices of bits: as many
+that width, so fingerprints meet in buckets of random choices of bits: as many
 choices as leave a pair at the limit of similarity out with a probability of ``MISSED``, for fingerprints with the expected number
 of different bits (some 0.3 % of pairs exactly at the limit, whose bits happen to differ more, are missed; more alike pairs practically
-never). What is connected so is a family. Its sets are compared exactly; no candidate is taken unverified. Families of more than ``FAMILY``
+never). The pivot table, written once, discards there: it holds each fingerprint's Hamming distances to the references ``PIVOTS``, taken
+byte by byte, as distances of whole fingerprints lie too close together to tell anything at ``MAX_BITS``. By the triangle inequality two
+bytes differ in at least as many bits as their distances to any reference differ, and the bounds of the bytes add up; a pair whose bounds come
+to more than ``MAX_BITS`` is proved too far, and only the rest are verified by their bits. What is connected so is a family. Its sets are compared exactly; no candidate is taken unverified. Families of more than ``FAMILY``
 sets are dealt as pairs of parts to many tasks.
 
 Defined cases: words are as in :mod:`rankforge.llm.simhash_pivots` (ASCII lower case, ASCII white space); a text of fewer words
@@ -30,6 +33,8 @@ from rankforge.llm.shared import slices, written
 from rankforge.llm.simhash_pivots import classes_of, fingerprint_links, majority, one_of_each, rows_of
 
 SHINGLE, NEAR, BITS, MAX_BITS, MISSED, FAMILY, FIRST = 5, 8, 128, 36, 1e-5, 2000, 12
+#: References of a byte, each at 4 bits from the others: between them they tell more of a byte than random ones.
+PIVOTS = np.array([0xFF, 0x55, 0x33, 0x0F], "u1")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Members of families up to which their keys and identifiers are broadcast (some tens of bytes each).
 FEW = 300_000
@@ -68,6 +73,31 @@ def wide_print(found: np.ndarray) -> np.ndarray:
     return majority(np.stack(columns, axis=1)) if len(found) else np.zeros(BITS // 64, "<u8")
 
 
+def packed_distances(prints: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table of fingerprints (rows of words): two distances (0 to 8) a byte."""
+    found = np.bitwise_count(np.ascontiguousarray(prints).view("u1")[:, None, :] ^ PIVOTS[None, :, None])
+    return (found[:, : len(PIVOTS) // 2] | found[:, len(PIVOTS) // 2 :] << 4).reshape(len(prints), -1)
+
+
+def unpacked_distances(rows: np.ndarray) -> np.ndarray:
+    """Row, reference, byte of the fingerprint -> distance."""
+    two = rows.reshape(len(rows), len(PIVOTS) // 2, BITS // 8)
+    return np.concatenate([two & 15, two >> 4], axis=1).view("i1")
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """Different sets (``__node``) with their fingerprints' words and ``__d``: the distances to the references."""
+    words = [f"__w{i}" for i in range(BITS // 64)]
+
+    def run(batches):
+        for batch in batches:
+            prints = np.stack([batch.column(w).to_numpy(zero_copy_only=False).astype("<i8").view("<u8") for w in words], axis=1)
+            rows = pa.array([r.tobytes() for r in packed_distances(prints)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=["__node", *words, "__d"])
+
+    return written(distinct.select("__node", *words).mapInArrow(run, "__node long, " + ", ".join(f"{w} long" for w in words) + ", __d binary"), "pivot-table")
+
+
 def bit_choices(rows: int, near: float = NEAR / 10, missed: float = MISSED) -> list[tuple[int, ...]]:
     """Masks of random bits. A bucket of evenly spread fingerprints holds about sixteen; a pair that is ``near`` alike shares no
     bucket with a probability of ``missed``."""
@@ -172,23 +202,24 @@ def _verified(df: DataFrame, prints: DataFrame, families: DataFrame, id_col: str
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(df: DataFrame, id_col: str, text_col: str, tally=None) -> tuple[DataFrame, DataFrame]:
     prints = _printed(df, id_col, text_col)
     words = [f"__w{i}" for i in range(BITS // 64)]
-    distinct = written(prints.where("__some").groupBy("__node").agg(*[F.first(w).alias(w) for w in words]), "distinct-shingles")
+    distinct = pivot_table(prints.where("__some").groupBy("__node").agg(*[F.first(w).alias(w) for w in words]))
+    links = lambda table, masks: fingerprint_links(table, masks, MAX_BITS, tally=tally, unpacked=unpacked_distances)
     masks = bit_choices(distinct.count())
     # a few choices connect most copies; the others look for links between what is not connected yet, so edges stay few
-    first = components(fingerprint_links(distinct, masks[:FIRST], MAX_BITS))
+    first = components(links(distinct, masks[:FIRST]))
     known = written(distinct.join(first.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node")), "known")
-    more = components(fingerprint_links(known.select(F.col("root").alias("__node"), *words), masks[FIRST:], MAX_BITS))
+    more = components(links(known.select(F.col("root").alias("__node"), *words, "__d"), masks[FIRST:]))
     whole = known.select(F.col("__node").alias("node"), F.col("root").alias("was")).join(more.withColumnRenamed("node", "was"), "was", "left")
     families = written(whole.select("node", F.coalesce("root", "was").alias("root")).where("node <> root"), "near-families")
     return prints, written(classes_of(prints, _verified(df, prints, families, id_col, text_col)), "classes")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for every row: ``id_col, component_id`` (least identifier of its group)."""
-    prints, classes = _classes(df, id_col, text_col)
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tally=None) -> DataFrame:
+    """A row for every row: ``id_col, component_id`` (least identifier of its group). ``tally``: as in :func:`fingerprint_links`."""
+    prints, classes = _classes(df, id_col, text_col, tally)
     return prints.select("__id", "__node").join(classes, "__node").select(F.col("__id").alias(id_col), "component_id")
 
 

@@ -119,7 +119,8 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints:
     """A spanning forest of the links inside each bucket, and how many pairs met, were discarded by their ``distances`` to
     the references, and were verified as links. ``prints``: rows of words. ``keys`` are sorted; rows of a bucket that stands for two
     chunks (``sides`` 0 and 1) are compared across; -1: with all others. Rows of one node are connected from the start, and pairs that are
-    connected already don't meet."""
+    connected already don't meet. ``distances``: rows of references, and of parts of the fingerprint that a reference is compared with by
+    itself; each part's largest difference is a lower bound of its bits, and parts have no bit in common, so the bounds add up."""
     order, tally = np.lexsort((nodes, keys)), np.zeros(3, "i8")
     fresh = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])][: len(keys)]
     root = np.empty(len(keys), "i8")
@@ -134,7 +135,7 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, nodes: np.ndarray, prints:
         first, second = first[pairs], second[pairs]
         tally[0] += len(first)
         if len(first) and distances is not None:
-            near = np.abs(distances[first] - distances[second]).max(axis=1) <= max_bits
+            near = np.abs(distances[first] - distances[second]).max(axis=1).sum(axis=1) <= max_bits
             tally[1] += len(first) - near.sum()
             first, second = first[near], second[near]
         if len(first):
@@ -162,10 +163,11 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bits: int = MAX_BITS, chunk: int = CHUNK, tally=None) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bits: int = MAX_BITS, chunk: int = CHUNK, tally=None, unpacked=None) -> DataFrame:
     """Edges ``u, v`` between different nodes that connect what links connect. ``distinct``: ``__node`` (fingerprints of one node are
     connected already), the fingerprint's words ``__w0, ...`` and, if there is a pivot table, ``__d``. Two nodes meet if they agree in the bits of one of ``masks`` (a mask a
-    word). ``tally``: an accumulator a count of :func:`bucket_links`, for measurements."""
+    word). ``tally``: an accumulator a count of :func:`bucket_links`, for measurements. ``unpacked``: makes what :func:`bucket_links` takes of
+    ``__d`` as rows of bytes (none: a byte a reference, compared with the whole fingerprint)."""
     words = [c for c in distinct.columns if c.startswith("__w")]
     listed = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(_signed(m)).alias(f"m{i}") for i, m in enumerate(mask)]) for t, mask in enumerate(masks)])
     key = F.transform(listed, lambda m: F.xxhash64(m["t"], *[F.col(w).bitwiseAND(m[f"m{i}"]) for i, w in enumerate(words)]))
@@ -185,7 +187,7 @@ def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bit
     else:
         keyed = keyed.select("*", side)
     dealt = keyed.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k")
-    has_table = "__d" in distinct.columns
+    has_table, unpacked = "__d" in distinct.columns, unpacked or (lambda rows: rows[:, :, None].astype("i2"))
 
     def run(batches):
         names, rest = ["k", "side", "__node", *words], None
@@ -210,7 +212,7 @@ def fingerprint_links(distinct: DataFrame, masks: list[tuple[int, ...]], max_bit
             grouped[:-1] |= same
             at = np.flatnonzero(grouped)
             prints = np.stack([rest[3 + i][at].astype("<i8").view("<u8") for i in range(len(words))], axis=1)
-            links, counts = bucket_links(keys[at], rest[1][at], rest[2][at], prints, max_bits, rest[-1][at].astype("i2") if has_table else None)
+            links, counts = bucket_links(keys[at], rest[1][at], rest[2][at], prints, max_bits, unpacked(rest[-1][at]) if has_table else None)
             for t, n in zip(tally or (), counts.tolist(), strict=False):
                 t.add(n)
             rest = [column[end:] for column in rest]

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from rankforge.llm import shared, simhash_copies
 
@@ -51,3 +53,26 @@ def test_large_families_in_parts(spark, monkeypatch):
         monkeypatch.setattr(simhash_copies, "FAMILY", family)
         got = {r["doc_id"]: r["component_id"] for r in simhash_copies.near_copies(df).collect()}
         assert [got[i] for i in range(90)] == brute_groups(docs)
+
+
+def test_the_pivot_table_discards_far_pairs_only(spark):
+    rng = np.random.default_rng(8)
+    one = rng.integers(0, 1 << 64, (4000, 2), dtype="u8")
+    flips = np.packbits(rng.random((4000, 128)) < rng.random((4000, 1)) / 2, axis=1).view("<u8")
+    d, e = (simhash_copies.unpacked_distances(simhash_copies.packed_distances(x)).astype(int) for x in (one, one ^ flips))
+    for r, pivot in enumerate(simhash_copies.PIVOTS.tolist()):
+        assert d[7, r].tolist() == [(b ^ pivot).bit_count() for b in one[7].tobytes()]
+    bound, bits = np.abs(d - e).max(axis=1).sum(axis=1), np.bitwise_count(flips).sum(axis=1)
+    assert (bound <= bits).all() and (bound[bits > 60] > simhash_copies.MAX_BITS).mean() > 0.8
+
+    docs, common = [], [f"s{i}" for i in range(50)]
+    for _ in range(500):  # a third in common; some texts have a near copy
+        docs.append(" ".join(common + [f"w{rng.integers(10**9)}" for _ in range(100)]))
+        if len(docs) % 5 == 0:
+            docs.append(docs[-1] + " more")
+    tally = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_copies.near_copies(df, tally=tally).collect()}
+    assert [got[i] for i in range(len(docs))] == brute_groups(docs)
+    met, discarded, verified = (t.value for t in tally)
+    assert met > 1000 and discarded > 0.3 * (met - verified) and verified > 0
