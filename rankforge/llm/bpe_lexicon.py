@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import SLICE, ChunkCoder, frequent_chunks, lower_chunks, new_folder, put_file, slices, worker_threads_off
+from rankforge.llm.shared import SLICE, ChunkCoder, frequent_chunks, kept, lower_chunks, new_folder, put_file, slices, worker_threads_off
 
 #: Unicode White_Space.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -262,16 +262,9 @@ class Encoder(ChunkCoder):
         return [[i for p in pieces for i in (found[p] if isinstance(p, str) else (p,))] for pieces in split]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def worker_encoder(tokenizer: str, lexicon: str | None) -> Encoder:
-    """One encoder a worker process, kept between tasks."""
-    key = (tokenizer, lexicon)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer, lexicon)
-    return _ENCODERS[key]
+    """One encoder a worker process, kept between tasks of this stage."""
+    return kept((tokenizer, lexicon), lambda: Encoder(tokenizer, lexicon))
 
 
 def ship(df: DataFrame, data: bytes) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import slices, written
+from rankforge.llm.shared import released, slices, written
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS = 10, 1_000_000, 300_000
 #: Lower-cases A-Z and turns every ASCII character that is no letter or digit into a blank.
@@ -46,6 +46,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
+        released()
         part, state = TaskContext.get().partitionId() << 32, [0]
 
         def shard(ids, kind, words, sizes):
@@ -85,6 +86,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     total += len(found) + gap
         if ids:
             yield from shard(ids, kind, words, sizes)
+        del ids, words, sizes
+        released()
 
     return written(src.mapInArrow(run, "shard long, term binary, postings binary"), "positions")
 

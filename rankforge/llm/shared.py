@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import unicodedata
 import uuid
@@ -222,6 +224,29 @@ def frequent_chunks(df: DataFrame, text_col: str, split: Callable[[str], list[st
     return sorted(_pruned(total, capacity).items(), key=lambda x: (-x[1], x[0]))
 
 
+# -- what a worker process holds: it outlives its tasks, and those of one operator those of the next ---------------
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` gives, held by this worker process for later tasks. It holds one such thing: another key, or :func:`released`, ends it."""
+    if key not in _KEPT:
+        released()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def released() -> None:
+    """What earlier tasks of this worker process hold goes, and free memory goes back to the system."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def worker_threads_off() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("RAYON_NUM_THREADS", "1")

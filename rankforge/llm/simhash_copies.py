@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import components
-from rankforge.llm.shared import slices, written
+from rankforge.llm.shared import released, slices, written
 from rankforge.llm.simhash_pivots import classes_of, fingerprint_links, majority, one_of_each, rows_of
 
 SHINGLE, NEAR, BITS, MAX_BITS, MISSED, FAMILY, FIRST = 5, 8, 128, 36, 1e-5, 2000, 12
@@ -139,6 +139,7 @@ def _printed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = [f"__w{i}" for i in range(BITS // 64)]
 
     def run(batches):
+        released()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column(3).to_pylist()]

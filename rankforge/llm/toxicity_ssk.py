@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.shared import forget, slices
+from rankforge.llm.shared import forget, released, slices
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN, DECAY, SPAN, POWER, THRESHOLD = 56, 24, 0.85, 7, 3, 0.3
@@ -406,6 +406,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rows = chosen.groupBy("__id").agg(F.min("t").alias("t"), F.max("__y").alias("y")).select(F.col("__id").cast("string").alias("i"), "t", (F.col("y") > 0).cast("int").alias("y"))
 
     def learn(batches):
+        released()
         held = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         if held:
             _, texts, marks = zip(*held, strict=True)
@@ -426,6 +427,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __score double, __predicted int"
 
     def run(batches):
+        released()
         key = sent.value.weights.tobytes()
         if key not in _SCORERS:
             _SCORERS.clear()
